@@ -19,7 +19,7 @@ def deviations(metrics: list[str] = METRICS) -> Column:
         sd = (F.col(m) - F.col(f"{m}_mean")) / usable
         entries.append(
             F.struct(
-                (-F.abs(sd)).alias("size"),
+                (-F.round(F.abs(sd), 9)).alias("size"),
                 F.lit(place).alias("place"),
                 F.lit(m).alias("metric"),
                 sd.alias("sd"),

@@ -34,7 +34,7 @@ def fit(windows: DataFrame, components: int = 8) -> Reconstruction | None:
     if len(head) < 2:
         return None
     width = len(head[0]["v"])
-    mean = vectors.select(Summarizer.mean("v").alias("m")).first()["m"].toArray().tolist()
+    mean = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray().tolist()
     model = PCA(k=min(components, width), inputCol="v", outputCol="p").fit(vectors)
     return Reconstruction(model, mean, width)
 

@@ -64,13 +64,11 @@ def _mapped(events: DataFrame) -> DataFrame:
         _provider_type().alias("event_type"),
         F.unix_timestamp(ts).alias("created_epoch"),
         _payload().alias("payload"),
-        F.explode(
-            F.when(
-                F.col("event_type") == "error", F.array(F.lit(0), F.lit(REDELIVERY_DELAY_S))
-            ).otherwise(F.array(F.lit(0)))
-        ).alias("delay_s"),
+        F.when(F.col("event_type") == "error", F.array(F.lit(0), F.lit(REDELIVERY_DELAY_S)))
+        .otherwise(F.array(F.lit(0)))
+        .alias("delays"),
         ts.alias("ts"),
-    )
+    ).select("*", F.explode("delays").alias("delay_s"))
 
 
 def bronze_from_events(events: DataFrame) -> DataFrame:
@@ -84,7 +82,7 @@ def bronze_from_events(events: DataFrame) -> DataFrame:
         "created_epoch",
         F.lit(API_VERSION).alias("api_version"),
         "payload",
-        F.timestampadd("SECOND", F.col("delay_s"), F.col("ts")).alias("ingested_at"),
+        F.timestamp_add("SECOND", F.col("delay_s"), F.col("ts")).alias("ingested_at"),
         F.to_date(F.timestamp_seconds("created_epoch")).alias("event_date"),
     )
 

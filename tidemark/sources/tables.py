@@ -36,9 +36,10 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_label_windows(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object ``{stream: [[start, end], …]}`` → one row per labelled window."""
-    text = spark.read.text(path, wholetext=True)
+def read_label_windows(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """JSON objects ``{stream: [[start, end], …]}``, one per file or one per line → one row
+    per labelled window."""
+    text = spark.read.text(path, wholetext=whole_file)
     parsed = text.select(
         F.explode(F.from_json("value", "map<string,array<array<string>>>")).alias("stream", "spans")
     )
