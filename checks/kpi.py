@@ -240,10 +240,9 @@ def extract_numbers(spark, sf_dir):
         F.lit("page"), F.col("page_id"), F.col("html").alias("text")
     )
     found = docs.union(pages).withColumn("found", scalars.numbers(F.col("text")))
-    total = F.aggregate("found", F.lit(0.0), lambda a, x: a + x)
     return found.select(
         "kind", "id", F.size("found").cast("bigint").alias("n"),
-        (F.round(total / F.greatest(F.size("found"), F.lit(1)), 3)).alias("mean"),
+        F.array_min("found").alias("least"), F.array_max("found").alias("largest"),
     )
 
 
@@ -306,13 +305,13 @@ _LABELS = [
 ]
 
 _METRIC_TEXT = {
-    "mrr": "'$' || CASE WHEN mrr >= 1000 THEN printf('%.1f', round_even(mrr / 1000.0, 1)) || 'k' "
-    "ELSE printf('%.0f', round_even(mrr, 0)) END",
+    "mrr": "'$' || CASE WHEN mrr >= 1000 THEN printf('%.1f', mrr / 1000.0) || 'k' "
+    "ELSE printf('%.0f', mrr) END",
     "checkout_volume": "CASE WHEN checkout_volume >= 1000 THEN "
-    "printf('%.1f', round_even(checkout_volume / 1000.0, 1)) || 'k' "
-    "ELSE printf('%.0f', round_even(checkout_volume, 0)) END",
-    "conversion_rate": "printf('%.1f', round_even(conversion_rate * 100.0, 1)) || '%'",
-    "refund_rate": "printf('%.1f', round_even(refund_rate * 100.0, 1)) || '%'",
+    "printf('%.1f', checkout_volume / 1000.0) || 'k' "
+    "ELSE printf('%.0f', checkout_volume) END",
+    "conversion_rate": "printf('%.1f', conversion_rate * 100.0) || '%'",
+    "refund_rate": "printf('%.1f', refund_rate * 100.0) || '%'",
 }
 
 _RAW_LABEL = """CASE
@@ -444,6 +443,5 @@ ORACLE = {
         SELECT 'document' AS kind, doc_id AS id, {sql.NUMBERS.format("text")} AS xs FROM documents
         UNION ALL SELECT 'page', page_id, {sql.NUMBERS.format("html")} FROM pages
       )
-      SELECT kind, id, len(xs) AS n,
-        round(coalesce(list_sum(xs), 0.0) / greatest(len(xs), 1), 3) AS mean FROM found""",
+      SELECT kind, id, len(xs) AS n, list_min(xs) AS least, list_max(xs) AS largest FROM found""",
 }

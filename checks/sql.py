@@ -190,10 +190,10 @@ def _value(metric_expr: str, suffix: str = "") -> str:
 def _sentence(metric_expr: str) -> str:
     value, mean = _value(metric_expr), _value(metric_expr, "_mean")
     moved = (
-        f"printf('%.0f', round_even(CASE WHEN {mean} = 0 THEN 0.0 "
-        f"ELSE abs(({value} - {mean}) / {mean}) * 100.0 END, 0))"
+        f"printf('%.0f', CASE WHEN {mean} = 0 THEN 0.0 "
+        f"ELSE abs(({value} - {mean}) / {mean}) * 100.0 END)"
     )
-    level = f"printf('%.1f', round_even({value} * 100.0, 1)) || '%'"
+    level = f"printf('%.1f', {value} * 100.0) || '%'"
     up = f"{value} > {mean}"
     return f"""CASE
       WHEN {metric_expr} = 'mrr' AND {up} THEN 'MRR rose ' || {moved} || '% above its usual level.'

@@ -78,13 +78,47 @@ def numbers(text: Column) -> Column:
     return F.transform(found, lambda x: F.translate(x, ",", "").try_cast("double"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, with the value written (and computed) once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def exact_round(value: Column, places: int) -> Column:
+    """Correctly rounded to ``places``, true ties to even, as C and Python print numbers.
+
+    The built-in roundings work on the shortest decimal form of a double, which may be a tie
+    where the double itself is not. The product with 10^places is split into its double and
+    its exact error (the factor has few bits, so both partial products are exact), which
+    tells on which side of the tie the value lies.
+    """
+    scale = F.lit(float(10**places))
+
+    def error_of(size: Column) -> Column:
+        spread = size * F.lit(134217729.0)  # 2^27 + 1 splits a double into two halves
+        return _let(
+            spread - (spread - size),
+            lambda high: (high * scale - size * scale) + (size - high) * scale,
+        )
+
+    def rounded(x: Column) -> Column:
+        scaled = F.abs(x) * scale
+        part = scaled % F.lit(1.0)
+        whole = scaled - part
+        odd = whole % F.lit(2.0) == 1.0
+        tie_up = _let(error_of(F.abs(x)), lambda e: (e > 0) | ((e == 0) & odd))
+        up = (part > 0.5) | ((part == 0.5) & tie_up)
+        size = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
+        return F.when(x < 0, -size).otherwise(size)
+
+    return _let(value, rounded)
+
+
 def fixed(value: Column, places: int) -> Column:
-    """Half-even fixed-point text; a plain ``%.1f`` would round ties up."""
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    return F.format_string(f"%.{places}f", exact_round(value, places))
 
 
 def signed_fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%+.{places}f", F.bround(value, places))
+    return F.format_string(f"%+.{places}f", exact_round(value, places))
 
 
 def percent_text(value: Column, places: int = 1) -> Column:

@@ -35,65 +35,52 @@ def metric_text(metric: Column, value: Column) -> Column:
     )
 
 
-def movement_sentence(metric: Column, value: Column, mean: Column) -> Column:
+def movement_sentence(metric: str, value: Column, mean: Column) -> Column:
     """One sentence on how a metric moved against its mean."""
-    change = F.when(mean == 0, F.lit(0.0)).otherwise(
-        F.abs((value - mean) / mean) * F.lit(100.0)
-    )
-    moved = fixed(change, 0)
-    level = percent_text(value)
-    up = value > mean
+    change = F.when(mean == 0, F.lit(0.0)).otherwise(F.abs((value - mean) / mean) * F.lit(100.0))
+    moved, level = fixed(change, 0), percent_text(value)
 
-    def either(rise: Column, fall: Column) -> Column:
-        return F.when(up, rise).otherwise(fall)
+    def sentence(before: str, figure: Column, after: str) -> Column:
+        return F.concat(F.lit(before), figure, F.lit(after))
 
     # The sentence wording the classifier is trained on.
-    return (
-        F.when(
-            metric == "mrr",
-            either(
-                F.concat(F.lit("MRR rose "), moved, F.lit("% above its usual level.")),
-                F.concat(F.lit("MRR fell "), moved, F.lit("% below its usual level.")),
-            ),
-        )
-        .when(
-            metric == "refund_rate",
-            either(
-                F.concat(F.lit("Refund rate climbed to "), level, F.lit(", well above normal.")),
-                F.concat(F.lit("Refund rate dropped to "), level, F.lit(".")),
-            ),
-        )
-        .when(
-            metric == "conversion_rate",
-            either(
-                F.concat(F.lit("Conversion rate rose to "), level, F.lit(".")),
-                F.concat(F.lit("Conversion rate slipped to "), level, F.lit(".")),
-            ),
-        )
-        .when(
-            metric == "checkout_volume",
-            either(
-                F.concat(F.lit("Checkout volume jumped "), moved, F.lit("% above baseline.")),
-                F.concat(F.lit("Checkout volume dropped "), moved, F.lit("% below baseline.")),
-            ),
-        )
-        .otherwise(F.concat(metric, F.lit(" shifted from its baseline.")))
-    )
-
-
-def describe(contributors: Column, values: Column, means: Column, top_k: int = 2) -> Column:
-    """Description from the leading contributors; ``values``/``means`` are maps by metric."""
-    known = F.filter(
-        F.slice(contributors, 1, top_k),
-        lambda c: F.map_contains_key(values, c["metric"]) & F.map_contains_key(means, c["metric"]),
+    rise, fall = {
+        "mrr": (
+            sentence("MRR rose ", moved, "% above its usual level."),
+            sentence("MRR fell ", moved, "% below its usual level."),
+        ),
+        "refund_rate": (
+            sentence("Refund rate climbed to ", level, ", well above normal."),
+            sentence("Refund rate dropped to ", level, "."),
+        ),
+        "conversion_rate": (
+            sentence("Conversion rate rose to ", level, "."),
+            sentence("Conversion rate slipped to ", level, "."),
+        ),
+        "checkout_volume": (
+            sentence("Checkout volume jumped ", moved, "% above baseline."),
+            sentence("Checkout volume dropped ", moved, "% below baseline."),
+        ),
+    }.get(metric, (F.lit(f"{metric} shifted from its baseline."),) * 2)
+    return F.when(value > mean, rise).otherwise(fall)
+
+
+def describe(contributors: Column, metrics: list[str] = METRICS, top_k: int = 2) -> Column:
+    """Description from the leading contributors of rows with ``<m>`` and ``<m>_mean``."""
+    sentences = F.create_map(
+        *[
+            x
+            for m in metrics
+            for x in (F.lit(m), movement_sentence(m, F.col(m), F.col(f"{m}_mean")))
+        ]
     )
-    sentences = F.transform(
-        known,
-        lambda c: movement_sentence(
-            c["metric"], F.element_at(values, c["metric"]), F.element_at(means, c["metric"])
+    chosen = F.filter(
+        F.transform(
+            F.slice(contributors, 1, top_k), lambda c: F.try_element_at(sentences, c["metric"])
         ),
+        lambda s: s.isNotNull(),
     )
-    return F.when(F.size(sentences) > 0, F.array_join(sentences, " ")).otherwise(
+    return F.when(F.size(chosen) > 0, F.array_join(chosen, " ")).otherwise(
         F.lit("Metrics deviated from baseline.")
     )
 

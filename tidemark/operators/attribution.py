@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import exact_round
 from tidemark.functions.text import describe
 from tidemark.operators.features import with_baseline
 from tidemark.schemas import METRICS, SCORE_THRESHOLD
@@ -31,24 +32,29 @@ def deviations(metrics: list[str] = METRICS) -> Column:
     )
 
 
+def _leading(top_k: int = 3) -> Column:
+    """The first ``top_k`` of ``_deviations``, to two places."""
+    return F.transform(
+        F.slice("_deviations", 1, top_k),
+        lambda c: F.struct(c["metric"].alias("metric"), exact_round(c["sd"], 2).alias("sd")),
+    )
+
+
 def top_contributors(rows: DataFrame, top_k: int = 3) -> DataFrame:
     """Adds ``top_contributors`` from rows that carry their tenant's baseline."""
-    rounded = F.transform(
-        F.slice(deviations(), 1, top_k),
-        lambda c: F.struct(c["metric"].alias("metric"), F.round(c["sd"], 2).alias("sd")),
+    return (
+        rows.withColumn("_deviations", deviations())
+        .withColumn("top_contributors", _leading(top_k))
+        .drop("_deviations")
     )
-    return rows.withColumn("top_contributors", rounded)
 
 
 def above(rows: DataFrame, threshold: float = SCORE_THRESHOLD, score: str = "score") -> DataFrame:
     return rows.where(F.col(score) >= threshold)
 
 
-def _by_metric(suffix: str = "", places: int | None = None) -> Column:
-    pairs = []
-    for m in METRICS:
-        value = F.col(f"{m}{suffix}")
-        pairs += [F.lit(m), value if places is None else F.round(value, places)]
+def _metric_map(places: int) -> Column:
+    pairs = [x for m in METRICS for x in (F.lit(m), exact_round(F.col(m), places))]
     return F.create_map(*pairs)
 
 
@@ -58,22 +64,23 @@ def flagged_records(scored: DataFrame, threshold: float = SCORE_THRESHOLD) -> Da
     The baseline covers all of a tenant's days, so it is taken before the threshold; the
     array work is done on the flagged rows alone.
     """
-    flagged = above(with_baseline(scored), threshold)
-    return top_contributors(flagged).select(
+    flagged = above(with_baseline(scored), threshold).withColumn("_deviations", deviations())
+    return flagged.select(
         "tenant_id",
         F.col("metric_date").cast("string").alias("metric_date"),
         F.col("score").alias("anomaly_score"),
-        "top_contributors",
-        describe(deviations(), _by_metric(), _by_metric("_mean")).alias("description"),
-        _by_metric(places=4).alias("metrics"),
+        _leading().alias("top_contributors"),
+        describe(F.col("_deviations")).alias("description"),
+        _metric_map(4).alias("metrics"),
     )
 
 
 def described_days(frame: DataFrame) -> DataFrame:
     """Every tenant-day with its description and leading contributor: classifier text."""
-    return top_contributors(with_baseline(frame), 1).select(
+    attributed = with_baseline(frame).withColumn("_deviations", deviations())
+    return attributed.select(
         "tenant_id",
         "metric_date",
-        F.col("top_contributors")[0].alias("driver"),
-        describe(deviations(), _by_metric(), _by_metric("_mean")).alias("text"),
+        F.col("_deviations")[0].alias("driver"),
+        describe(F.col("_deviations")).alias("text"),
     )
