@@ -68,7 +68,7 @@ def bronze_csv_scan(spark, sf_dir):
 
 def gold_scan(spark, sf_dir):
     path = working_path(spark, "gold")
-    gold_of(spark, sf_dir).write.partitionBy("metric_date").parquet(path)
+    sinks.write_gold(gold_of(spark, sf_dir), path)
     rows = tables.read_gold(spark, path).orderBy("tenant_id", "metric_date")
     return with_days(rows, "metric_date")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_small
 from tidemark.operators.ordering import running_sums
 from tidemark.schemas import LABELS
 
@@ -36,16 +37,20 @@ def pr_points(scored: DataFrame, by: list[str], label: str = "label") -> DataFra
     steps = scored.groupBy(*by, "score").agg(
         F.sum(label).cast("bigint").alias("hits"), F.count(F.lit(1)).alias("rows")
     )
-    curve = running_sums(steps, {"tp": "hits", "predicted": "rows"}, [F.col("score").desc()], by)
-    totals = scored.groupBy(*by).agg(F.sum(label).cast("bigint").alias("positives"))
+    curve = running_sums(
+        steps,
+        {"tp": "hits", "predicted": "rows"},
+        [F.col("score").desc()],
+        by,
+        totals={"positives": "hits"},
+    )
     precision = F.col("tp").cast("double") / F.col("predicted")
     recall = F.when(F.col("positives") == 0, F.lit(1.0)).otherwise(
         F.try_divide(F.col("tp").cast("double"), F.col("positives"))
     )
     both = F.col("precision") + F.col("recall")
     return (
-        curve.join(totals, by)
-        .withColumn("precision", precision)
+        curve.withColumn("precision", precision)
         .withColumn("recall", recall)
         .withColumn(
             "f1",
@@ -84,14 +89,18 @@ def evaluate(scored: DataFrame, by: list[str], label: str = "label") -> DataFram
 
 
 def regime_recall(scored: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
-    """Share of point and of contextual rows at or above the group's threshold; NULL if none."""
+    """Share of point and of contextual rows at or above the group's threshold; NULL if none.
+
+    The thresholds are one row per group while a group may hold most rows, so they are
+    broadcast when their counted size allows it.
+    """
 
     def share(regime: str) -> Column:
         hit = (F.col("score") >= F.col("threshold")).cast("double")
         return F.avg(F.when(F.col("regime") == regime, hit))
 
     return (
-        scored.join(thresholds.select(*by, "threshold"), by)
+        join_small(scored, thresholds.select(*by, "threshold"), by)
         .groupBy(*by)
         .agg(
             share("point").alias("recall_point"),

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Overlapping intervals of a stream become one, so a point lies in at most one."""
-    by_start = Window.partitionBy("stream").orderBy("start", "end")
-    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
-    opened = intervals.withColumn("_open", F.max("end").over(before)).withColumn(
-        "_new", (F.col("_open").isNull() | (F.col("start") > F.col("_open"))).cast("int")
+BIN_SECONDS = 3600
+
+
+def _bin(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(BIN_SECONDS * 1_000_000))
+
+
+def binned_intervals(intervals: DataFrame) -> DataFrame:
+    """Intervals cut into hour bins and merged inside each bin: (stream, bin, start, end),
+    disjoint, so a point lies in at most one.
+
+    Merging sorts one bin's pieces at a time, never a whole stream's.
+    """
+    cut = intervals.select(
+        "stream",
+        "start",
+        "end",
+        F.explode(F.sequence(_bin(F.col("start")), _bin(F.col("end")))).alias("bin"),
     )
-    island = F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    # A piece that starts before its bin starts with it; ends need no cut, as only points of
+    # the bin are compared with it.
+    opening = F.timestamp_seconds(F.col("bin") * BIN_SECONDS)
+    pieces = cut.select(
+        "stream", "bin", F.greatest("start", opening).alias("start"), "end"
+    ).groupBy("stream", "bin", "start").agg(F.max("end").alias("end"))
+    ordered = Window.partitionBy("stream", "bin").orderBy("start")
+    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pieces.withColumn("_before", before).withColumn(
+        "_new", (F.col("_before").isNull() | (F.col("start") > F.col("_before"))).cast("int")
+    )
+    island = F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     return (
         opened.withColumn("_island", island)
-        .groupBy("stream", "_island")
+        .groupBy("stream", "bin", "_island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .drop("_island")
     )
@@ -25,22 +48,15 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
 def interval_label(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """Adds ``is_anomaly``: 1 where the time lies in an interval of its stream, ends included.
 
-    A range condition alone would compare every point with every interval. Intervals are cut
-    into the days they touch, which makes it an equi-join on (stream, day) that Spark may
-    broadcast or shuffle by measured size; disjoint intervals keep one row per point.
+    A range condition alone would compare every point with every interval. The hour bins make
+    it an equi-join on (stream, bin) that Spark may broadcast or shuffle by measured size, and
+    that spreads a stream holding most points over its hours.
     """
-    days = merge_intervals(intervals).select(
-        "stream",
-        "start",
-        "end",
-        F.explode(
-            F.sequence(F.to_date("start"), F.to_date("end"), F.expr("interval 1 day"))
-        ).alias("_day"),
-    )
-    p, d = points.withColumn("_day", F.to_date("ts")).alias("p"), days.alias("d")
+    p = points.withColumn("_bin", _bin(F.col("ts"))).alias("p")
+    d = binned_intervals(intervals).alias("d")
     inside = (
         (F.col("p.stream") == F.col("d.stream"))
-        & (F.col("p._day") == F.col("d._day"))
+        & (F.col("p._bin") == F.col("d.bin"))
         & F.col("p.ts").between(F.col("d.start"), F.col("d.end"))
     )
     return p.join(d, inside, "left").select(

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_small
 from tidemark.session import cut_lineage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -36,9 +37,10 @@ def _placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def _join_offsets(placed: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
+    if by:
+        return join_small(placed, offsets, [*by, "_part"])
     # Without groups there is one offset row per range partition: a proven bound.
-    side = offsets if by else F.broadcast(offsets)
-    return placed.join(side, [*by, "_part"])
+    return placed.join(F.broadcast(offsets), "_part")
 
 
 def _group(by: list[str]) -> list:
@@ -54,7 +56,7 @@ def ranked(
 ) -> DataFrame:
     """Adds the 0-based rank and the row count of the group (of the table without ``by``).
 
-    Runs one job: the placement is written before this returns.
+    Runs its jobs before returning: the placement (and, by group, the offsets) are written.
     """
     by = by or []
     placed = _placed(rows, by, order)
@@ -82,21 +84,23 @@ def running_sums(
     sums: dict[str, str],
     order: list[Column],
     by: list[str] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Adds cumulative sums (``{new_column: source_column}``) in the given order.
+    """Adds cumulative sums (``{new_column: source_column}``) in the given order, and group
+    totals where ``totals`` names them.
 
-    Runs one job: the placement is written before this returns.
+    Runs its jobs before returning: the placement and the offsets are written.
     """
+    totals = totals or {}
     by = by or []
     placed = _placed(rows, by, order)
-    before = (
-        Window.partitionBy(*_group(by))
-        .orderBy("_part")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    whole = Window.partitionBy(*_group(by))
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*by, "_part")
-        .agg(*[F.sum(source).alias(f"_t_{name}") for name, source in sums.items()])
+        .agg(
+            *[F.sum(source).alias(f"_t_{name}") for name, source in (sums | totals).items()],
+        )
         .select(
             *by,
             "_part",
@@ -104,6 +108,7 @@ def running_sums(
                 F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
                 for name in sums
             ],
+            *[F.sum(f"_t_{name}").over(whole).alias(name) for name in totals],
         )
     )
     # One window partition is one range partition of one group: balanced by construction.
@@ -118,7 +123,7 @@ def running_sums(
     out = _join_offsets(summed, offsets, by)
     for name in sums:
         out = out.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
-    return out.select(*rows.columns, *sums)
+    return out.select(*rows.columns, *sums, *totals)
 
 
 def rank_percentile(

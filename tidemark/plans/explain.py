@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import alert_text, grounded_explanation, search_query
 from tidemark.operators import grounding, retrieval
+from tidemark.operators.joins import join_small
 from tidemark.session import cut_lineage
 
-BROADCAST_ROWS = 500_000  # id pairs; about 10 MB
-
-
 def with_query(records: DataFrame) -> DataFrame:
     """Adds ``query_id`` (hash of the record key) and the retrieval query."""
     return records.withColumn(
@@ -26,16 +24,14 @@ def with_context(records: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Adds ``context``: the k retrieved documents (id, text) in rank order.
 
     Few distinct queries are asked: equal query texts are searched once. The search result is
-    k rows per query; the corpus is filtered by it without being shuffled as long as that
-    stays under ``BROADCAST_ROWS``, and joined by shuffle beyond.
+    k rows per query; while that is small the corpus is filtered by it without a shuffle.
     """
     asked = records.select("query").distinct().select(
         F.xxhash64("query").alias("query_id"), F.col("query").alias("text")
     )
     found = retrieval.hybrid_search(docs, asked, k)
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     texts = (
-        docs.join(side, "doc_id")
+        join_small(docs, found, ["doc_id"])
         .groupBy("query_id")
         .agg(
             F.array_sort(

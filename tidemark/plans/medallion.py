@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.operators import features, kpis, quality, silver
+from tidemark.sources import sinks, tables
 
 
 def gold_from_bronze(bronze: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def gated_run(bronze: DataFrame, gold_path: str, enforce: bool = True) -> DataFr
     With ``enforce`` a breach raises, so a caller never hands on a table that failed.
     """
     typed = silver.to_silver(bronze)
-    kpis.gold(kpis.daily_kpi(typed)).write.mode("overwrite").parquet(gold_path)
-    written = bronze.sparkSession.read.parquet(gold_path)
+    sinks.write_gold(kpis.gold(kpis.daily_kpi(typed)), gold_path)
+    written = tables.read_gold(bronze.sparkSession, gold_path)
     summary = quality.suite_summary(gate_report(bronze, typed, written))
     if enforce:
         quality.enforce(summary)

@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 
 
 def write_bronze(bronze: DataFrame, path: str, mode: str = "append") -> None:
-    """Batch backfill, clustered so that each partition folder gets few files. The day is in
-    the key with the tenant, and the hash salt spreads a tenant-day too large for one task."""
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    """Batch backfill or compaction: folders by day, rows clustered by tenant inside.
+
+    The rebalance hint gathers a day in few files and lets AQE split a day that is too large
+    for one task; the sort gives the row groups narrow tenant ranges, so a tenant filter skips
+    most of them without a folder per tenant and day.
+    """
     (
-        bronze.repartition("tenant_id", "event_date", salt)
+        bronze.hint("rebalance", "event_date")
+        .sortWithinPartitions("event_date", "tenant_id")
         .write.mode(mode)
         .partitionBy("event_date")
         .parquet(path)
     )
 
 
+def write_gold(gold: DataFrame, path: str, mode: str = "overwrite") -> None:
+    gold.hint("rebalance", "metric_date").write.mode(mode).partitionBy("metric_date").parquet(path)
+
+
 def upsert_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 

@@ -15,19 +15,23 @@ def land(
     checkpoint: str,
     trigger_interval: str = TRIGGER_INTERVAL,
     available_now: bool = False,
+    layout: tuple[str, ...] = ("tenant_id", "event_date"),
 ) -> StreamingQuery:
     """Starts the landing query. The file sink commits each micro-batch atomically.
 
-    Files are laid out by day and tenant, so downstream reads prune on both. All-null rows of
-    undecodable records land too, in the null partition.
+    Files are laid out by tenant and day, so downstream reads prune on both; a micro-batch,
+    whose size the source bounds, writes each folder from one task instead of from all. With
+    very many tenants pass ``layout=("event_date",)`` and let ``sinks.write_bronze`` cluster by
+    tenant later. All-null rows of undecodable records land too, in the null partition.
     """
     writer = (
         to_bronze(raw)
+        .repartition(*layout)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .option("path", path)
-        .partitionBy("event_date", "tenant_id")
+        .partitionBy(*layout)
     )
     if available_now:
         return writer.trigger(availableNow=True).start()
