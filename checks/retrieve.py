@@ -9,11 +9,11 @@ from checks.common import features_of, rule_records_of
 from tidemark.functions import text
 from tidemark.operators import classify, grounding, retrieval
 from tidemark.plans import detection, explain
-from tidemark.sources.tables import supplied
+from tidemark.sources.tables import spread, supplied
 
 
 def _docs(spark, sf_dir):
-    return supplied(spark, sf_dir, "documents").select(
+    return spread(supplied(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", "text", (F.col("doc_id") % 60).alias("recency_minutes")
     )
 

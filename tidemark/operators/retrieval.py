@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import tokens
+from tidemark.operators.joins import join_small
 from tidemark.session import cut_lineage
 
 # Embedding width, fusion constant, freshness rule, BM25 parameters.
@@ -43,7 +44,7 @@ def bucket(token: Column) -> Column:
 def hash_embed(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Sparse L2-normalised bag of hashed words: (key, bucket, weight)."""
     counts = (
-        docs.select(key, F.explode(tokens(F.col(text))).alias("token"))
+        exploded(docs, [key], tokens(F.col(text)))
         .groupBy(key, bucket(F.col("token")).alias("bucket"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
@@ -70,21 +71,30 @@ def top_k_per_query(
 # --- BM25 as an inverted-index join -------------------------------------------------------
 
 
+def exploded(docs: DataFrame, key: list[str | Column], words: Column) -> DataFrame:
+    """One row per word. The outer form keeps Spark from testing the array before the explode,
+    which would run the tokeniser twice (and ahead of a repartition); its null row of an empty
+    text is dropped afterwards."""
+    return docs.select(*key, F.explode_outer(words).alias("token")).where("token is not null")
+
+
 def term_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(per-term idf, one row of corpus size and mean length).
+    """(per-term idf, one row of corpus size and mean length). Runs two jobs.
 
     A term found in more than half of the documents takes a quarter of the mean idf.
     """
     words = docs.select(tokens(F.col(text)).alias("t"))
-    corpus = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    corpus = cut_lineage(
+        words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    )
     frequency = (
-        words.select(F.explode(F.array_distinct("t")).alias("token"))
+        exploded(words, [], F.array_distinct("t"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
     size = F.broadcast(corpus.select("n"))  # one row
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = frequency.join(size).select("token", "df", raw.alias("raw"))
+    idf = cut_lineage(frequency.join(size).select("token", raw.alias("raw")))
     mean = F.broadcast(idf.agg(F.avg("raw").alias("mean_idf")))  # one row
     return idf.join(mean).select(
         "token",
@@ -95,25 +105,26 @@ def term_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
 
 
 def bm25(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """BM25 score of every (query, document) pair that shares a term.
+    """BM25 score of every (query, document) pair that shares a term. Runs the statistics jobs.
 
-    docs(doc_id, text), queries(query_id, text). Postings are cut to the query vocabulary
-    before they are counted; query terms keep their multiplicity.
+    docs(doc_id, text), queries(query_id, text). Postings are cut to the query vocabulary in
+    the scan stage and shuffled by document once, which also serves the sum per pair; query
+    terms, with their multiplicity, are broadcast if their counted size allows it.
     """
     idf, corpus = term_statistics(docs, text)
     asked = (
-        queries.select("query_id", F.explode(tokens(F.col(text))).alias("token"))
+        exploded(queries, ["query_id"], tokens(F.col(text)))
         .groupBy("query_id", "token")
         .agg(F.count(F.lit(1)).alias("times"))
+        .join(idf, "token")
+        .select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
     )
-    asked = asked.join(idf, "token").select(
-        "query_id", "token", (F.col("times") * F.col("idf")).alias("weight")
-    )
-    vocabulary = queries.select(F.explode(tokens(F.col(text))).alias("token")).distinct()
+    vocabulary = exploded(queries, [], tokens(F.col(text))).distinct()
+    words = docs.select("doc_id", tokens(F.col(text)).alias("t"))
     postings = (
-        docs.select("doc_id", tokens(F.col(text)).alias("t"))
-        .select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
+        exploded(words, ["doc_id", F.size("t").alias("dl")], F.col("t"))
         .join(vocabulary, "token", "left_semi")
+        .repartition("doc_id")
         .groupBy("doc_id", "token")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
         .join(F.broadcast(corpus.select("avgdl")))  # one row
@@ -123,7 +134,7 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     )
     return (
-        postings.join(asked, "token")
+        join_small(postings, asked, ["token"])
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(F.col("weight") * saturation), SCORE_PLACES).alias("score"))
     )
@@ -325,7 +336,7 @@ def hybrid_search(
     """
     spark = docs.sparkSession
     idf, corpus = term_statistics(docs, text)
-    vocabulary = queries.select(F.explode(tokens(F.col(text))).alias("token")).distinct()
+    vocabulary = exploded(queries, [], tokens(F.col(text))).distinct()
     idf = cut_lineage(idf.join(vocabulary, "token", "left_semi"))
     mean_length = corpus.first()["avgdl"] or 0.0
     # Few long tasks: what a task emits depends on the queries, not on its share of documents.

@@ -19,7 +19,7 @@ from tidemark.schemas import (
     SUB_CREATED,
     SUB_DELETED,
 )
-from tidemark.sources.tables import supplied
+from tidemark.sources.tables import spread, supplied
 
 API_VERSION = "2024-06-20"
 REDELIVERY_DELAY_S = 3600
@@ -118,16 +118,20 @@ def envelopes_from_events(events: DataFrame) -> DataFrame:
     return _mapped(events).select(value.cast("binary").alias("value"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(supplied(spark, sf_dir, "events"), "event_id")
+
+
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bronze_from_events(supplied(spark, sf_dir, "events"))
+    return bronze_from_events(_events(spark, sf_dir))
 
 
 def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webhooks_from_events(supplied(spark, sf_dir, "events"))
+    return webhooks_from_events(_events(spark, sf_dir))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelopes_from_events(supplied(spark, sf_dir, "events"))
+    return envelopes_from_events(_events(spark, sf_dir))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

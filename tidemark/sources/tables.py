@@ -14,6 +14,18 @@ def supplied(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deals a scan out over all cores when its files give fewer splits than there are cores.
+
+    For plain scans of few large files ahead of costly per-row work; with enough splits it
+    changes nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def read_bronze_csv(spark: SparkSession, path: str) -> DataFrame:
     """Typed CSV with JSON text in quotes; embedded quotes are doubled."""
     ensure_utc(spark)
