@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks import sql
 from checks.common import day, features_of, rule_records_of, scored_of, standardised_of, with_days
 from tidemark.operators import (
-    attribution, classify, evaluate, features, forest, ordering, splits, temporal,
+    attribution, classify, evaluate, features, forest, labels, ordering, series, splits,
+    temporal,
 )
 from tidemark.plans import detection
 from tidemark.schemas import LABELS, METRICS
@@ -45,14 +46,52 @@ def rolling_zscore(spark, sf_dir):
     return rows.select("tenant_id", day("metric_date"), F.round("zscore", 6).alias("zscore"))
 
 
+def _order_series(spark, sf_dir):
+    return supplied(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("stream"), F.col("o_orderdate").alias("ts"), "o_orderkey",
+        F.col("o_totalprice").alias("value"),
+    )
+
+
 def rolling_zscore_series(spark, sf_dir):
-    """The univariate form, 48 rows back, over each customer's orders."""
-    orders = supplied(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice",
-        F.struct("o_orderdate", "o_orderkey").alias("at"),
+    """The univariate form, 48 rows back: events by type, in short chunks so that the overlap
+    is used, and orders by customer."""
+    rows = series.rolling_zscore(
+        _event_series(spark, sf_dir), ["ts", "event_id"], chunk_rows=500
+    ).select("event_id", "zscore")
+    orders = series.rolling_zscore(_order_series(spark, sf_dir), ["ts", "o_orderkey"])
+    both = rows.union(orders.select(-F.col("o_orderkey") - 1, "zscore"))
+    return both.select("event_id", F.round("zscore", 6).alias("zscore"))
+
+
+def _event_series(spark, sf_dir):
+    return supplied(spark, sf_dir, "events").select(
+        F.col("event_type").alias("stream"), F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", "value",
     )
-    rows = features.rolling_zscore(orders, 48, ["o_totalprice"], "o_custkey", "at")
-    return rows.select("o_orderkey", F.round("zscore", 6).alias("zscore"))
+
+
+def ar2_series(spark, sf_dir):
+    rows = series.ar2_residual(_event_series(spark, sf_dir), ["ts", "event_id"], chunk_rows=500)
+    return rows.select("event_id", F.round("ar2", 4).alias("ar2"))
+
+
+def series_benchmark(spark, sf_dir):
+    """Four detectors per event stream, labelled by the half hours around large values, and
+    their metrics averaged over the streams."""
+    points = _event_series(spark, sf_dir)
+    half_hour = F.expr("interval 30 minutes")
+    windows = points.where("value > 300").select(
+        "stream", (F.col("ts") - half_hour).alias("start"), (F.col("ts") + half_hour).alias("end")
+    )
+    scored = series.detector_scores(points, ["ts", "event_id"], ["event_id"])
+    labelled = labels.interval_label(scored, windows).withColumnRenamed("is_anomaly", "label")
+    long = evaluate.long_scores(
+        labelled,
+        {"ensemble": "ensemble", "forest": "forest", "zscore": "zscore", "ar2": "ar2"},
+        ["stream", "label"],
+    )
+    return evaluate.mean_over_streams(evaluate.evaluate(long, ["stream", "method"]))
 
 
 def sliding_windows(spark, sf_dir):
@@ -312,7 +351,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         day_index, tenant_standardise, tenant_baseline, tenant_stats_join, rolling_zscore,
-        rolling_zscore_series, sliding_windows, rank_percentile, warmup_backfill, top_contributors,
+        rolling_zscore_series, ar2_series, series_benchmark, sliding_windows, rank_percentile, warmup_backfill, top_contributors,
         threshold_gate, describe_anomaly, isolation_forest, window_reconstruction, ar2_residual,
         ensemble_score, rank_blend, anomaly_records, shapley_drivers, pr_curve, pr_curve_best_f1,
         average_precision, regime_recall, method_benchmark, mean_over_streams, weight_sweep,
@@ -470,10 +509,32 @@ ORACLE = {
       SELECT tenant_id, {_MD}, {_STATS_COLUMNS} FROM statted WHERE score >= 0.95""",
     "rolling_zscore": f"""WITH {sql.ZSCORES}
       SELECT tenant_id, {_MD}, round(zscore, 6) AS zscore FROM zscores""",
-    "rolling_zscore_series": f"""SELECT o_orderkey, round({sql.rolling_z("o_totalprice", "w")}, 6)
-        AS zscore FROM orders
+    "rolling_zscore_series": f"""
+      SELECT event_id, round({sql.rolling_z("value", "w")}, 6) AS zscore FROM events
+      WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id
+                   ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)
+      UNION ALL
+      SELECT -o_orderkey - 1, round({sql.rolling_z("o_totalprice", "w")}, 6) FROM orders
       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
                    ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""",
+    "ar2_series": """WITH lagged AS (
+        SELECT event_type AS s, event_id, value AS y, lag(value, 1) OVER o AS l1,
+          lag(value, 2) OVER o AS l2 FROM events
+        WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id)
+      ),
+      fit AS (
+        SELECT s, avg(y) FILTER (l2 IS NOT NULL) AS my, avg(l1) FILTER (l2 IS NOT NULL) AS m1,
+          avg(l2) AS m2, avg(y) AS mean, var_pop(l1) FILTER (l2 IS NOT NULL) AS s11,
+          var_pop(l2) AS s22, covar_pop(l1, l2) AS s12,
+          covar_pop(l1, y) FILTER (l2 IS NOT NULL) AS s1y, covar_pop(l2, y) AS s2y
+        FROM lagged GROUP BY s
+      ),
+      coef AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS a1,
+        (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS a2 FROM fit),
+      resid AS (SELECT s, event_id, abs(CASE WHEN l2 IS NULL THEN y - mean
+        ELSE y - my - a1 * (l1 - m1) - a2 * (l2 - m2) END) AS r FROM lagged JOIN coef USING (s))
+      SELECT event_id, round((r - avg(r) OVER w) / (stddev_pop(r) OVER w + 1e-9), 4) AS ar2
+      FROM resid WINDOW w AS (PARTITION BY s)""",
     "sliding_windows": f"""WITH {sql.FEATURES}
       SELECT tenant_id, {_MD}, 28 AS n, round(lag(mrr, 6) OVER o, 4) AS oldest_mrr,
         round(checkout_volume, 4) AS latest_volume,

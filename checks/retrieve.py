@@ -97,11 +97,19 @@ def build_query(spark, sf_dir):
 
 
 def _with_lead(spark, sf_dir):
-    """Records with one document each, by day of month: context without a search."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("lead"))
-    return rule_records_of(spark, sf_dir, 0.9).withColumn(
-        "doc_id", F.dayofmonth(F.col("metric_date").cast("date")).cast("bigint")
-    ).join(docs, "doc_id")
+    """Records with one document each as context, without a search: the longest text of the
+    language that stands for their type."""
+    longest = supplied(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.max_by("text", F.struct("n_chars", "doc_id")).alias("lead")
+    )
+    lang = (
+        F.when(F.col("anomaly_type") == "payment_failure", "en")
+        .when(F.col("anomaly_type") == "churn_spike", "fr")
+        .when(F.col("anomaly_type") == "pricing_effect", "de")
+        .otherwise("es")
+    )
+    records = rule_records_of(spark, sf_dir, 0.9).withColumn("lang", lang)
+    return records.join(longest, "lang", "left")
 
 
 def _explanation():
@@ -211,12 +219,17 @@ QUERIES = {
 _ASKING = "asking AS (SELECT item_id AS query_id, text FROM benchmark),"
 
 _LEAD = sql.RECORDS + """,
+longest AS (
+  SELECT lang, first(text ORDER BY n_chars DESC, doc_id DESC) AS lead FROM documents GROUP BY lang
+),
 near AS (
-  SELECT r.*, d.text AS lead,
+  SELECT r.*, lead,
     'Tenant ' || tenant_id || ' shows a ' || anomaly_type || ' anomaly on ' || metric_date
     || ' (score ' || anomaly_score || '). The main drivers were ' || drivers || '. '
-    || string_split(trim(string_split(d.text, chr(10))[1]), '.')[1] || '.' AS explanation
-  FROM typed_records r JOIN documents d ON d.doc_id = day(r.day_value)
+    || string_split(trim(string_split(lead, chr(10))[1]), '.')[1] || '.' AS explanation
+  FROM typed_records r LEFT JOIN longest ON lang = CASE anomaly_type
+    WHEN 'payment_failure' THEN 'en' WHEN 'churn_spike' THEN 'fr'
+    WHEN 'pricing_effect' THEN 'de' ELSE 'es' END
   WHERE anomaly_score >= 0.9
 )"""
 

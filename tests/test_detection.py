@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import (
-    attribution, classify, evaluate, features, forest, labels, ordering, splits,
+    attribution, classify, evaluate, features, forest, labels, ordering, series, splits,
 )
 from tidemark.plans import detection
 from tidemark.schemas import LABELS, METRICS
@@ -274,3 +274,53 @@ def test_weight_sweep_prefers_the_informative_score(spark):
     )
     sweep = evaluate.weight_sweep(df, {7: "good"}, "noise", [0.2, 0.5, 0.8])
     assert evaluate.best_trial(sweep).first()["weight"] == 0.8
+
+
+def univariate(n=900, seed=9) -> pd.DataFrame:
+    rng = np.random.default_rng(seed)
+    out = []
+    for stream in ("a", "b"):
+        values = rng.normal(50, 1, n)
+        values[600:605] += 25
+        for i, v in enumerate(values):
+            ts = dt.datetime(2026, 1, 1) + dt.timedelta(minutes=5 * i)
+            out.append((stream, ts, i, float(v), int(600 <= i < 605)))
+    return pd.DataFrame(out, columns=["stream", "ts", "id", "value", "label"])
+
+
+def test_chunked_series_equal_whole_series(spark):
+    pdf = univariate(300)
+    df = spark.createDataFrame(pdf)
+    got = series.rolling_zscore(df, ["ts"], 48, chunk_rows=60).toPandas()
+    got = got.sort_values(["stream", "ts"])
+    assert len(got) == len(pdf)
+    for _, g in got.groupby("stream"):
+        s = g["value"]
+        std = s.rolling(48, min_periods=1).std().fillna(1.0).replace(0.0, 1.0)
+        assert np.allclose(g["zscore"], ((s - s.rolling(48, min_periods=1).mean()) / std).abs())
+    whole = series.ar2_residual(df, ["ts"]).toPandas().set_index(["stream", "id"])["ar2"]
+    parts = series.ar2_residual(df, ["ts"], chunk_rows=7).toPandas()
+    assert np.allclose(whole.sort_index(), parts.set_index(["stream", "id"])["ar2"].sort_index())
+    with pytest.raises(ValueError, match="overlap"):
+        series.rolling_zscore(df, ["ts"], 48, chunk_rows=40)
+
+
+def test_spike_in_a_univariate_stream_is_found(spark):
+    df = spark.createDataFrame(univariate())
+    scored = series.detector_scores(df, ["ts"], ["stream", "id"], window=12, trees=50)
+    long = evaluate.long_scores(
+        scored, {"ensemble": "ensemble", "forest": "forest"}, ["stream", "label"]
+    )
+    table = evaluate.evaluate(long, ["stream", "method"]).toPandas()
+    assert (table["pr_auc"] > 0.5).all()
+
+
+def test_forests_per_stream_use_their_own_scale(spark, monkeypatch):
+    monkeypatch.setattr(forest, "PARTS_AT_ONCE", 2)
+    rng = np.random.default_rng(2)
+    rows = [(k, i, float(rng.normal(c, 1))) for k, c in (("x", 0), ("y", 1000)) for i in range(300)]
+    rows += [("x", 999, 30.0), ("y", 999, 1030.0)]
+    df = spark.createDataFrame(rows, "stream string, id long, value double")
+    got = forest.fit_score_parts(df, "stream", ["value"], ["stream", "id"], trees=40).toPandas()
+    assert len(got) == len(rows)
+    assert set(got.sort_values("forest").groupby("stream").tail(1)["id"]) == {999}

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+
+from tidemark.operators.joins import join_small
+from tidemark.session import cut_lineage
 
 EULER = 0.5772156649015329
 
@@ -59,6 +61,7 @@ class Forest:
 
 _NODES = T.StructType(
     [
+        T.StructField("part", T.StringType()),
         T.StructField("tree", T.IntegerType()),
         T.StructField("node", T.IntegerType()),
         T.StructField("feature", T.IntegerType()),
@@ -66,13 +69,14 @@ _NODES = T.StructType(
         T.StructField("left", T.IntegerType()),
         T.StructField("right", T.IntegerType()),
         T.StructField("depth", T.DoubleType()),
+        T.StructField("rows", T.IntegerType()),
     ]
 )
 
 
 def _grow(features: list[str], max_depth: int, seed: int):
     def grow(tree_rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(tree_rows["tree"].iloc[0])
+        part, tree = str(tree_rows["part"].iloc[0]), int(tree_rows["tree"].iloc[0])
         x = tree_rows.sort_values("pick")[features].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
         nodes: list[list] = []
@@ -81,21 +85,20 @@ def _grow(features: list[str], max_depth: int, seed: int):
             members, depth, parent, side = pending.pop()
             index = len(nodes)
             if parent >= 0:
-                nodes[parent][4 + side] = index
+                nodes[parent][5 + side] = index
             block = x[members]
             low, high = block.min(axis=0), block.max(axis=0)
             splittable = np.flatnonzero(high > low)
             if depth >= max_depth or len(members) <= 1 or len(splittable) == 0:
                 ends = depth + float(expected_path(np.array([len(members)]))[0])
-                nodes.append([tree, index, 0, 0.0, index, index, ends])
+                nodes.append([part, tree, index, 0, 0.0, index, index, ends, len(x)])
                 continue
             feature = int(rng.choice(splittable))
             cut = float(rng.uniform(low[feature], high[feature]))
-            below = block[:, feature] < cut
-            if not below.any():
-                below = block[:, feature] <= low[feature]
+            if cut <= low[feature]:
                 cut = float(np.nextafter(low[feature], high[feature]))
-            nodes.append([tree, index, feature, cut, index, index, 0.0])
+            below = block[:, feature] < cut
+            nodes.append([part, tree, index, feature, cut, index, index, 0.0, len(x)])
             pending.append((members[~below], depth + 1, index, 1))
             pending.append((members[below], depth + 1, index, 0))
         return pd.DataFrame(nodes, columns=_NODES.names)
@@ -106,29 +109,28 @@ def _grow(features: list[str], max_depth: int, seed: int):
 def tree_samples(
     rows: DataFrame, features: list[str], key: list[str], trees: int, sample: int, seed: int
 ) -> DataFrame:
-    """``sample`` rows per tree without replacement, the ones with the smallest hashes.
+    """``sample`` rows per part and tree without replacement: the smallest hashes.
 
-    A row is first kept only for the trees whose hash falls under a rate twice what is
-    needed, so about 2 × trees × sample rows are ever shuffled, whatever the table holds.
+    rows carry ``part`` and the part's row count ``part_rows``. A row is first kept only for
+    the trees whose hash falls under a rate twice what is needed, so about 2 × trees × sample
+    rows per part are ever shuffled, whatever the table holds.
     """
-    total = rows.count()
-    rate = 1.0 if total <= 2 * sample else min(1.0, 2.0 * sample / total)
-    ceiling = int(rate * (1 << 31))
-
-    def pick(tree):
-        return F.pmod(F.xxhash64(*key, tree, F.lit(seed)), F.lit(1 << 31))
-
+    span = float(1 << 31)
+    rate = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("part_rows"))
     picks = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.struct(t.alias("tree"), pick(t).alias("pick")),
+            lambda t: F.struct(
+                t.alias("tree"),
+                F.pmod(F.xxhash64(*key, t, F.lit(seed)), F.lit(1 << 31)).alias("pick"),
+            ),
         ),
-        lambda s: s["pick"] < F.lit(ceiling),
+        lambda s: s["pick"] < rate * F.lit(span),
     )
-    chosen = rows.select(*key, *features, F.explode(picks).alias("p")).select(
-        F.col("p.tree").alias("tree"), F.col("p.pick").alias("pick"), *key, *features
+    chosen = rows.select("part", *key, *features, F.explode(picks).alias("p")).select(
+        "part", F.col("p.tree").alias("tree"), F.col("p.pick").alias("pick"), *key, *features
     )
-    order = Window.partitionBy("tree").orderBy("pick", *key)
+    order = Window.partitionBy("part", "tree").orderBy("pick", *key)
     return (
         chosen.withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= sample)
@@ -136,27 +138,10 @@ def tree_samples(
     )
 
 
-def fit(
-    rows: DataFrame,
-    features: list[str],
-    key: list[str],
-    trees: int = 200,
-    sample: int = 256,
-    seed: int = 0,
-) -> Forest:
-    """Grows the forest. Two jobs; the driver receives at most trees × (2 × sample − 1) nodes."""
-    max_depth = int(np.ceil(np.log2(max(sample, 2))))
-    samples = tree_samples(rows, features, key, trees, sample, seed)
-    nodes = (
-        samples.groupBy("tree")
-        .applyInPandas(_grow(features, max_depth, seed), _NODES)
-        .toPandas()
-        .sort_values(["tree", "node"])
-        .reset_index(drop=True)
-    )
-    start = nodes.groupby("tree")["node"].transform("size").groupby(nodes["tree"]).first()
-    base = nodes["tree"].map(start.cumsum().shift(fill_value=0)).to_numpy()
-    used = int(min(sample, rows.count()))
+def _assemble(features: list[str], nodes: pd.DataFrame, max_depth: int) -> Forest:
+    nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    sizes = nodes.groupby("tree").size()
+    base = nodes["tree"].map(sizes.cumsum().shift(fill_value=0)).to_numpy()
     return Forest(
         features=features,
         roots=np.unique(base),
@@ -166,10 +151,83 @@ def fit(
         right=nodes["right"].to_numpy() + base,
         depth=nodes["depth"].to_numpy(),
         max_depth=max_depth,
-        sample=used,
+        sample=int(nodes["rows"].max()),
     )
 
 
+def _fit_parts(
+    rows: DataFrame, features: list[str], key: list[str], trees: int, sample: int, seed: int
+) -> dict[str, Forest]:
+    max_depth = int(np.ceil(np.log2(max(sample, 2))))
+    samples = tree_samples(rows, features, key, trees, sample, seed)
+    nodes = samples.groupBy("part", "tree").applyInPandas(
+        _grow(features, max_depth, seed), _NODES
+    )
+    return {
+        part: _assemble(features, group, max_depth)
+        for part, group in nodes.toPandas().groupby("part")
+    }
+
+
+def fit(
+    rows: DataFrame,
+    features: list[str],
+    key: list[str],
+    trees: int = 200,
+    sample: int = 256,
+    seed: int = 0,
+) -> Forest:
+    """Grows one forest. Two jobs; the driver receives at most trees × (2 × sample − 1) nodes."""
+    whole = rows.withColumn("part", F.lit("")).withColumn("part_rows", F.lit(rows.count()))
+    return _fit_parts(whole, features, key, trees, sample, seed)[""]
+
+
+PARTS_AT_ONCE = 64  # forests of parts held by the driver and by a scoring task at a time
+
+
+def fit_score_parts(
+    rows: DataFrame,
+    by: str,
+    features: list[str],
+    key: list[str],
+    trees: int = 200,
+    sample: int = 256,
+    seed: int = 0,
+    name: str = "forest",
+) -> DataFrame:
+    """A forest per value of ``by``, scoring that value's rows. Runs two jobs per 64 values.
+
+    A part's rows stay spread over all tasks, in training and in scoring.
+    """
+    counts = cut_lineage(rows.groupBy(by).agg(F.count(F.lit(1)).alias("part_rows")))
+    batches = -(-counts.count() // (PARTS_AT_ONCE // 2)) or 1
+    sized = join_small(rows, counts, [by]).withColumn("part", F.col(by).cast("string"))
+    out = None
+    for batch in range(batches):
+        part = sized.where(F.pmod(F.xxhash64("part"), F.lit(batches)) == batch)
+        forests = _fit_parts(part, features, key, trees, sample, seed)
+        shared = rows.sparkSession.sparkContext.broadcast(forests)
+        scored = part.withColumn(
+            name, _part_scorer(shared)(F.col("part"), F.array(*[F.col(c) for c in features]))
+        ).drop("part", "part_rows")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def _part_scorer(shared):
+    @F.pandas_udf(T.DoubleType())
+    def isolation(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        forests = shared.value
+        for parts, values in batches:
+            scores = pd.Series(np.zeros(len(parts)))
+            for part, positions in parts.groupby(parts).indices.items():
+                x = np.stack(values.to_numpy()[positions]).astype(float)
+                scores.iloc[positions] = forests[part].score(x)
+            yield scores
+
+    return isolation
+
+
 def score(rows: DataFrame, forest: Forest, name: str = "forest") -> DataFrame:
     """Adds the anomaly score of each row (higher is more anomalous)."""
     shared = rows.sparkSession.sparkContext.broadcast(forest)

@@ -41,7 +41,6 @@ TOPIC_PATTERN = r"stripe\.events\..*"
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
 
 SCORE_THRESHOLD = 0.95
-WORKER_THRESHOLD = 0.9
 FAITHFULNESS_THRESHOLD = 0.85
 REVIEW_CONFIDENCE = 0.6
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.functions.scalars import flexible_date, payload_struct
 from tidemark.operators.kpis import live_contributions, live_kpis
+from tidemark.session import ROCKSDB_PROVIDER
 from tidemark.sources.sinks import newest_wins, upsert_batch
 
 # Wide enough for the provider's re-deliveries; later copies go to the late table.
@@ -161,7 +162,13 @@ class RunningMrr(StatefulProcessor):
 def start_running_mrr(
     events: DataFrame, table: str, checkpoint: str, delay: str = REDELIVERY_WINDOW
 ) -> StreamingQuery:
-    """Deduped events → running MRR rows in the change log at ``table``; totals live in state."""
+    """Deduped events → running MRR rows in the change log at ``table``; totals live in state.
+
+    Arbitrary state needs the RocksDB state store.
+    """
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
+    )
     running = (
         mrr_deltas(deduped(events, delay))
         .groupBy("tenant_id")
