@@ -259,20 +259,34 @@ def weight_sweep(spark, sf_dir):
     return sweep.select("window", "weight", F.round("pr_auc", 9).alias("pr_auc"))
 
 
-def detector_benchmark(spark, sf_dir):
-    """All four detectors on tenant-days, labelled by a refund rate above 1."""
-    frame = features_of(spark, sf_dir)
-    scored = features.ar2_residual(features.rolling_zscore(detection.ensemble(frame)))
-    label = (F.col("refund_rate") > 1).cast("int")
+def _labelled_days(spark, sf_dir):
+    """Tenant-days, labelled by a refund rate above 1."""
     regime = F.when(F.col("mrr") > 0, "point").otherwise("contextual")
+    return (
+        features_of(spark, sf_dir)
+        .withColumn("label", (F.col("refund_rate") > 1).cast("int"))
+        .withColumn("regime", regime)
+    )
+
+
+def detector_benchmark(spark, sf_dir):
+    """All four detectors on all tenant-days."""
+    scored = detection.ensemble(_labelled_days(spark, sf_dir))
     long = evaluate.long_scores(
-        scored.withColumn("label", label).withColumn("regime", regime),
+        features.ar2_residual(features.rolling_zscore(scored)),
         {"ensemble": "score", "forest": "forest", "zscore": "zscore", "ar2": "ar2"},
         [*KEY, "label", "regime"],
     )
     return evaluate.benchmark(long, ["method"])
 
 
+def detector_tuning(spark, sf_dir):
+    """Window and weight tuned on two thirds of the tenants, detectors compared on the others."""
+    return detection.tune_and_benchmark(
+        _labelled_days(spark, sf_dir), [5, 7, 10], [0.2, 0.35, 0.5, 0.65, 0.8]
+    )
+
+
 # --- Splits and classification ------------------------------------------------------------
 
 
@@ -355,7 +369,7 @@ QUERIES = {
         threshold_gate, describe_anomaly, isolation_forest, window_reconstruction, ar2_residual,
         ensemble_score, rank_blend, anomaly_records, shapley_drivers, pr_curve, pr_curve_best_f1,
         average_precision, regime_recall, method_benchmark, mean_over_streams, weight_sweep,
-        detector_benchmark, stratified_split, template_holdout, tenant_split, holdout_semi,
+        detector_benchmark, detector_tuning, stratified_split, template_holdout, tenant_split, holdout_semi,
         class_metrics, class_f1, tfidf_features, tfidf_documents, type_classifier,
     )
 }

@@ -14,25 +14,30 @@ from pyspark.sql import functions as F
 from tidemark.operators import forest, temporal
 from tidemark.operators.joins import join_small
 from tidemark.operators.ordering import rank_percentile, ranked
+from tidemark.session import cut_lineage
 
 CHUNK_ROWS = 100_000
 
 
+def placed(rows: DataFrame, order: list[str], by: str = "stream") -> DataFrame:
+    """Adds ``at``, the rank of a row in its stream. Runs its jobs; operators given placed rows
+    do not rank again."""
+    return ranked(rows, [F.col(c) for c in order], [by], rank="at", total="_total").drop("_total")
+
+
 def chunked(
     rows: DataFrame, order: list[str], halo: int, by: str = "stream", chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Adds ``at`` (rank in the stream), ``_chunk`` and ``_own``; rows within ``halo`` of a
-    chunk's end are repeated, not owned, in the next chunk. Runs one job."""
+    """Adds ``_chunk`` and ``_own``; rows within ``halo`` of a chunk's end are repeated, not
+    owned, in the next chunk."""
     if halo >= chunk_rows:
         raise ValueError("a chunk must be longer than its overlap")
-    placed = ranked(rows, [F.col(c) for c in order], [by], rank="at", total="_total")
+    source = rows if "at" in rows.columns else placed(rows, order, by)
     chunk = F.floor(F.col("at") / F.lit(chunk_rows))
     tail = F.col("at") % F.lit(chunk_rows) >= F.lit(chunk_rows - halo)
     homes = F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    return (
-        placed.withColumn("_chunk", F.explode(homes))
-        .withColumn("_own", F.col("_chunk") == chunk)
-        .drop("_total")
+    return source.withColumn("_chunk", F.explode(homes)).withColumn(
+        "_own", F.col("_chunk") == chunk
     )
 
 
@@ -59,7 +64,7 @@ def rolling_zscore(
     scored = chunked(rows, order, window - 1, by, chunk_rows).withColumn(
         "zscore", F.abs(gap / _nonzero(F.stddev_samp(value).over(trailing)))
     )
-    return _owned(scored).drop("at")
+    return _owned(scored).select(*rows.columns, "zscore")
 
 
 def ar2_residual(
@@ -130,9 +135,8 @@ def reconstruction(
         chunked(standard, order, window - 1, by, chunk_rows).withColumn(
             "_w", F.collect_list("_z").over(trailing)
         )
-    ).select(
-        *rows.columns, "at", F.when(F.size("_w") == window, F.col("_w")).alias("window_values")
-    )
+    ).withColumn("window_values", F.when(F.size("_w") == window, F.col("_w")))
+    windows = windows.select(*dict.fromkeys([*rows.columns, "at"]), "window_values")
     scored = temporal.reconstruction_error(windows, temporal.fit(windows, components))
     first = scored.where(F.col("at") == window - 1).select(by, F.col("temporal").alias("_first"))
     return join_small(scored, first, [by], "left").select(
@@ -149,10 +153,11 @@ def detector_scores(
     trees: int = 200,
 ) -> DataFrame:
     """Adds zscore, ar2, forest and the rank blend ``ensemble``, each judged within its stream."""
-    scored = ar2_residual(rolling_zscore(rows, order, window), order)
-    scored = forest.fit_score_parts(scored, "stream", ["value"], key, trees=trees)
+    # Written between the models, whose fitting reads its input several times.
+    scored = cut_lineage(ar2_residual(rolling_zscore(placed(rows, order), order, window), order))
+    scored = cut_lineage(forest.fit_score_parts(scored, "stream", ["value"], key, trees=trees))
     scored = reconstruction(scored, order, window)
     by_time = rank_percentile(scored, "temporal", key, "_rt", ["stream"])
     both = rank_percentile(by_time, "forest", key, "_rf", ["stream"])
     blend = F.lit(weight) * F.col("_rt") + F.lit(1.0 - weight) * F.col("_rf")
-    return both.withColumn("ensemble", blend).drop("_rt", "_rf", "temporal")
+    return both.withColumn("ensemble", blend).drop("_rt", "_rf", "temporal", "at")

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, classify, features, forest, ordering, temporal
+from tidemark.operators import (
+    attribution,
+    classify,
+    evaluate,
+    features,
+    forest,
+    ordering,
+    splits,
+    temporal,
+)
 from tidemark.schemas import METRICS, SCORE_THRESHOLD
 from tidemark.session import cut_lineage
 
@@ -36,7 +45,8 @@ def ensemble(
     it (fitting, sampling, scoring and the two rankings).
     """
     standardised = cut_lineage(features.standardise(feature_frame))
-    scored = with_forest(temporal.temporal_scores(standardised, window), trees, seed)
+    grown = forest.fit(standardised, Z_COLUMNS, KEY, trees=trees, seed=seed)
+    scored = forest.score(temporal.temporal_scores(standardised, window), grown)
     by_time = ordering.rank_percentile(scored, "temporal", KEY, "temporal_rank")
     by_point = ordering.rank_percentile(by_time, "forest", KEY, "forest_rank")
     return by_point.withColumn("score", blend(F.col("temporal_rank"), F.col("forest_rank"), weight))
@@ -64,6 +74,49 @@ def anomaly_records(
     )
 
 
+def rank_scores(
+    feature_frame: DataFrame, windows: list[int], trees: int = 200, seed: int = 0
+) -> DataFrame:
+    """Adds ``forest_rank`` and ``temporal_rank_<w>`` per window size. Runs its jobs."""
+    rows = cut_lineage(features.standardise(feature_frame))
+    rows = ordering.rank_percentile(with_forest(rows, trees, seed), "forest", KEY, "forest_rank")
+    for window in windows:
+        scored = temporal.temporal_scores(rows, window)
+        rows = ordering.rank_percentile(
+            scored, "temporal", KEY, f"temporal_rank_{window}"
+        ).drop("temporal")
+    return rows
+
+
+def tune_and_benchmark(
+    labelled_features: DataFrame,
+    windows: list[int],
+    weights: list[float],
+    holdout: float = 0.33,
+    trees: int = 200,
+    seed: int = 0,
+) -> DataFrame:
+    """Chooses window and blend weight by average precision on the tuning tenants, then
+    compares all detectors on the held-out tenants. Runs its jobs.
+
+    Rows are features with ``label`` and ``regime``; no held-out tenant is seen in tuning.
+    """
+    held = splits.held_out_tenants(labelled_features, fraction=holdout, seed=seed)
+    tuning, final = splits.hold_out(labelled_features, cut_lineage(held), "tenant_id")
+    ranks = rank_scores(tuning, windows, trees, seed)
+    sweep = evaluate.weight_sweep(
+        ranks, {w: f"temporal_rank_{w}" for w in windows}, "forest_rank", weights
+    )
+    best = evaluate.best_trial(sweep).first()  # one row
+    scored = ensemble(final, best["window"], best["weight"], trees, seed)
+    scored = features.ar2_residual(features.rolling_zscore(scored))
+    methods = {"ensemble": "score", "forest": "forest", "zscore": "zscore", "ar2": "ar2"}
+    long = evaluate.long_scores(scored, methods, [*KEY, "label", "regime"])
+    return evaluate.benchmark(long, ["method"]).select(
+        "*", F.lit(best["window"]).alias("window"), F.lit(best["weight"]).alias("weight")
+    )
+
+
 def driver_rule(driver: Column) -> Column:
     """Incident type a leading driver usually stands for.
 
