@@ -521,8 +521,12 @@ ORACLE = {
       FROM features GROUP BY tenant_id""",
     "tenant_stats_join": f"""WITH {sql.RECORDS}
       SELECT tenant_id, {_MD}, {_STATS_COLUMNS} FROM statted WHERE score >= 0.95""",
-    "rolling_zscore": f"""WITH {sql.ZSCORES}
-      SELECT tenant_id, {_MD}, round(zscore, 6) AS zscore FROM zscores""",
+    "rolling_zscore": f"""WITH {sql.FEATURES}
+      SELECT tenant_id, {_MD},
+        round(greatest({", ".join(sql.rolling_z(m, "w") for m in METRICS)}), 6) AS zscore
+      FROM features
+      WINDOW w AS (PARTITION BY tenant_id ORDER BY features.metric_date
+                   ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "rolling_zscore_series": f"""
       SELECT event_id, round({sql.rolling_z("value", "w")}, 6) AS zscore FROM events
       WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id

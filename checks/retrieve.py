@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from checks import sql
 from checks.common import features_of, rule_records_of
-from tidemark.functions import text
+from tidemark.functions import scalars, text
 from tidemark.operators import classify, grounding, retrieval
 from tidemark.plans import detection, explain
 from tidemark.sources.tables import spread, supplied
 
 
+def _shown(column, places):
+    """Scores compare at nine places; shown at fewer, rounded as decimals."""
+    return F.round(column.cast("decimal(24,9)"), places).cast("double")
+
+
 def _docs(spark, sf_dir):
     return spread(supplied(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", "text", (F.col("doc_id") % 60).alias("recency_minutes")
@@ -31,8 +36,8 @@ def query_doc_pairs(spark, sf_dir):
     """BM25 of every pair that shares a term, summed per document so the check stays small."""
     pairs = retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir))
     return pairs.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("queries"), F.round(F.sum("score"), 5).alias("score"),
-        F.round(F.max("score"), 7).alias("best"),
+        F.count(F.lit(1)).alias("queries"), F.round(F.sum("score"), 4).alias("score"),
+        _shown(F.max("score"), 6).alias("best"),
     )
 
 
@@ -44,7 +49,7 @@ def _sparse(spark, sf_dir, k):
 
 def bm25_rank(spark, sf_dir):
     rows = _sparse(spark, sf_dir, 10)
-    return rows.select("query_id", "doc_id", "rank", F.round("score", 7).alias("score"))
+    return rows.select("query_id", "doc_id", "rank", _shown(F.col("score"), 6).alias("score"))
 
 
 def _vectors(spark, sf_dir):
@@ -101,7 +106,7 @@ def _with_lead(spark, sf_dir):
     language that stands for their type."""
     longest = supplied(spark, sf_dir, "documents").groupBy("lang").agg(
         F.max_by("text", F.struct("n_chars", "doc_id")).alias("lead")
-    )
+    ).withColumn("lead_numbers", F.array_distinct(scalars.numbers(F.col("lead"))))
     lang = (
         F.when(F.col("anomaly_type") == "payment_failure", "en")
         .when(F.col("anomaly_type") == "churn_spike", "fr")
@@ -148,9 +153,7 @@ def _checked(spark, sf_dir):
         F.col("anomaly_type") == "payment_failure",
         F.concat(_explanation(), F.lit(" Roughly 1,234,567 invoices and 98765 cards failed.")),
     ).otherwise(_explanation())
-    sources = F.concat(
-        grounding.record_numbers(), grounding.context_numbers(F.array("lead"))
-    )
+    sources = F.concat(grounding.record_numbers(), F.coalesce("lead_numbers", F.array()))
     return _with_lead(spark, sf_dir).withColumn(
         "faithfulness", grounding.faithfulness(stated, sources)
     )
@@ -303,11 +306,11 @@ ORACLE = {
       SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight
       FROM c""",
     "query_doc_pairs": f"""WITH {_ASKING} {sql.BM25}
-      SELECT doc_id, count(*) AS queries, round(sum(score), 5) AS score,
-        round(max(score), 7) AS best FROM bm25 GROUP BY doc_id""",
+      SELECT doc_id, count(*) AS queries, round(sum(score), 4) AS score,
+        CAST(round(CAST(max(score) AS DECIMAL(24, 9)), 6) AS DOUBLE) AS best FROM bm25 GROUP BY doc_id""",
     "bm25_rank": f"""WITH {_ASKING} {sql.BM25}
       SELECT query_id, doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS rank,
-        round(score, 7) AS score FROM bm25
+        CAST(round(CAST(score AS DECIMAL(24, 9)), 6) AS DOUBLE) AS score FROM bm25
       WINDOW w AS (PARTITION BY query_id ORDER BY bm25.score DESC, doc_id DESC)
       QUALIFY row_number() OVER w <= 10""",
     "dense_rank": """WITH q AS (

@@ -320,7 +320,7 @@ fused AS (
   FROM ranks
 ),
 found AS (
-  SELECT query_id, doc_id, round(score, 5) AS retrieval_score, position
+  SELECT query_id, doc_id, CAST(printf('%.5f', score) AS DOUBLE) AS retrieval_score, position
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) - 1
           AS position FROM fused)
 )"""

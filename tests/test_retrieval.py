@@ -247,6 +247,13 @@ def test_fixed_point_text_equals_python(spark):
         assert (r["p0"], r["p1"], r["p2"]) == (f"{r['v']:.0f}", f"{r['v']:.1f}", f"{r['v']:.2f}")
 
 
+def test_plain_text_equals_python(spark):
+    values = [0.0, 0.0008, 0.001, 0.00012, 1.0, 41200.0, 12345678.9, 1e9, 123456789012.25, 0.5, -0.0008]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", scalars.plain_text(F.col("v")).alias("t")).collect():
+        assert r["t"] == repr(r["v"])
+
+
 @pytest.mark.parametrize(
     ("metric", "value", "shown"),
     [("mrr", 41200.0, "$41.2k"), ("mrr", 999.0, "$999"), ("refund_rate", 0.16, "16.0%"),

@@ -113,6 +113,16 @@ def exact_round(value: Column, places: int) -> Column:
     return _let(value, rounded)
 
 
+def plain_text(value: Column) -> Column:
+    """A double as Python prints it: shortest form, exponents only below 1e-4 or from 1e16."""
+    size = F.abs(value)
+    digits = F.rtrim(value.cast("decimal(38,16)").cast("string"), F.lit("0"))
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    # The built-in text form switches to exponents below 1e-3 and from 1e7.
+    unusual = ((size < 1e-3) & (size >= 1e-4)) | ((size >= 1e7) & (size < 1e16))
+    return F.when(unusual, plain).otherwise(value.cast("string"))
+
+
 def fixed(value: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", exact_round(value, places))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import fixed, percent_text, signed_fixed
+from tidemark.functions.scalars import fixed, percent_text, plain_text, signed_fixed
 from tidemark.schemas import ALERT_ICONS, DEFAULT_ICON, METRICS, TYPE_LABELS
 
 
@@ -99,7 +99,7 @@ def driver_list(contributors: Column) -> Column:
 def metrics_text(values: Column) -> Column:
     """The metric map in prompt form, in the fixed metric order."""
     parts = [
-        F.concat(F.lit(f"'{m}': "), F.element_at(values, F.lit(m)).cast("string")) for m in METRICS
+        F.concat(F.lit(f"'{m}': "), plain_text(F.element_at(values, F.lit(m)))) for m in METRICS
     ]
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
@@ -127,7 +127,7 @@ def grounded_explanation(
             F.lit("Tenant "), tenant,
             F.lit(" shows a "), kind,
             F.lit(" anomaly on "), day,
-            F.lit(" (score "), score.cast("string"),
+            F.lit(" (score "), plain_text(score),
             F.lit("). The main drivers were "), drivers,
             F.lit(". "), first_sentence(lead_text), F.lit("."),
         )
@@ -158,8 +158,8 @@ def reason_prompt(
         F.lit("TENANT: "), tenant,
         F.lit("\nDATE: "), day,
         F.lit("\nANOMALY TYPE: "), kind,
-        F.lit(" (confidence "), confidence.cast("string"),
-        F.lit(")\nSCORE: "), score.cast("string"),
+        F.lit(" (confidence "), plain_text(confidence),
+        F.lit(")\nSCORE: "), plain_text(score),
         F.lit("\nDRIVERS: "), driver_list(contributors),
         F.lit("\nMETRICS: "), metrics_text(values),
         F.lit("\n\nRETRIEVED CONTEXT:\n"), bullets,
@@ -179,5 +179,5 @@ def alert_text(
     icon = F.coalesce(F.try_element_at(_literal_map(ALERT_ICONS), kind), F.lit(DEFAULT_ICON))
     return F.concat(
         icon, F.lit(" *"), kind, F.lit("* for `"), tenant, F.lit("` on "), day,
-        F.lit(" (score "), score.cast("string"), F.lit(")\n"), explanation,
+        F.lit(" (score "), plain_text(score), F.lit(")\n"), explanation,
     )

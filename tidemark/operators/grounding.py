@@ -42,9 +42,9 @@ def record_numbers() -> Column:
     return F.filter(F.concat(typed, drivers, written), lambda x: x.isNotNull())
 
 
-def context_numbers(texts: Column) -> Column:
-    """Numbers in the whole texts of the retrieved documents."""
-    return F.array_distinct(F.flatten(F.transform(texts, numbers)))
+def context_numbers(documents: Column) -> Column:
+    """Numbers of the retrieved documents, which carry those of their whole text."""
+    return F.array_distinct(F.flatten(F.transform(documents, lambda d: d["numbers"])))
 
 
 def is_faithful(score: Column, threshold: float = FAITHFULNESS_THRESHOLD) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import tokens
+from tidemark.functions.scalars import exact_round, tokens
 from tidemark.operators.joins import join_small
 from tidemark.session import cut_lineage
 
@@ -401,7 +401,7 @@ def hybrid_search(
     return out.select(
         "query_id",
         "doc_id",
-        F.round("score", 5).alias("retrieval_score"),
+        exact_round(F.col("score"), 5).alias("retrieval_score"),
         F.col("rank").alias("position"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import numbers
 from tidemark.functions.text import alert_text, grounded_explanation, search_query
 from tidemark.operators import grounding, retrieval
 from tidemark.operators.joins import join_small
@@ -21,7 +22,7 @@ def with_query(records: DataFrame) -> DataFrame:
 
 
 def with_context(records: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Adds ``context``: the k retrieved documents (id, text) in rank order.
+    """Adds ``context``: the k retrieved documents (id, text, its numbers) in rank order.
 
     Few distinct queries are asked: equal query texts are searched once. The search result is
     k rows per query; while that is small the corpus is filtered by it without a shuffle.
@@ -32,10 +33,13 @@ def with_context(records: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     found = retrieval.hybrid_search(docs, asked, k)
     texts = (
         join_small(docs, found, ["doc_id"])
+        .withColumn("numbers", numbers(F.col("text")))
         .groupBy("query_id")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct("position", "doc_id", "retrieval_score", "text"))
+                F.collect_list(
+                    F.struct("position", "doc_id", "retrieval_score", "text", "numbers")
+                )
             ).alias("context")
         )
     )
@@ -64,8 +68,7 @@ def explained(records: DataFrame) -> DataFrame:
     )
 
     def score(documents):
-        texts = F.transform(documents, lambda d: d["text"])
-        sources = F.concat(grounding.record_numbers(), grounding.context_numbers(texts))
+        sources = F.concat(grounding.record_numbers(), grounding.context_numbers(documents))
         return grounding.faithfulness(F.col("explanation"), sources)
 
     first = F.slice("context", 1, F.greatest(F.size("context") - 1, F.lit(0)))
