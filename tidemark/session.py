@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,17 +38,16 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; a session must name one.
 
-    Only a local-mode session that names none gets a temporary folder; on a cluster a
-    machine-local folder would not survive the loss of that machine, so that is an error.
+    A machine-local folder would not survive the loss of that machine, so none is made up here.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tidemark-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured or os.path.dirname(sc.getCheckpointDir())
@@ -62,3 +62,34 @@ def cut_lineage(df):
 def working_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, for tables and stream checkpoints."""
     return f"{checkpoint_root(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def _package_bytes() -> bytes:
+    folder = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for top, _, names in sorted(os.walk(folder)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    return held.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives every Python worker this package, once per application.
+
+    Functions that run on executors name their module, so the workers must be able to import
+    it wherever the driver was started. The archive goes to the shared folder.
+    """
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    path = jvm.org.apache.hadoop.fs.Path(f"{working_path(spark, 'package')}/tidemark.zip")
+    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    stream = system.create(path, True)
+    stream.write(_package_bytes())
+    stream.close()
+    sc.addPyFile(system.makeQualified(path).toString())
+    sc._tidemark_shipped = True
