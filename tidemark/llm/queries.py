@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.pii import KINDS, count_kind, personal_data, span_text
 from tidemark.llm.pu_quality import pu_quality
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.toxicity import toxicity
@@ -47,9 +49,35 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, labels).drop("text")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *(count_kind("base_spans", kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(span_text("base_spans"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"),
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op2_quality_rules, op5_quality_classifier, op6_toxicity)
+    for query in (
+        op2_quality_rules,
+        op5_quality_classifier,
+        op6_toxicity,
+        op8_pii,
+        op9_decontamination,
+    )
 }
 
 ORACLE: dict[str, str] = {}
