@@ -42,15 +42,16 @@ def annotate(
     make_kernel: Callable[[], Callable[[list], Sequence]],
     fields: list[StructField],
     text: str = "text",
+    keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with new columns computed from ``text``, one output row per input row.
 
     ``make_kernel()`` runs once per task and returns a function from a list of texts to one
     sequence per field. An input column named like a new one is replaced by it; all other
-    columns pass through untouched. An empty table gives an empty table.
+    columns pass through untouched, the text itself only with ``keep_text``. An empty table gives an empty table.
     """
     bounded_batches(docs.sparkSession)
-    new = {field.name.lower() for field in fields}
+    new = {field.name.lower() for field in fields} | ({text.lower()} - {text.lower() * keep_text})
     passed = [field for field in docs.schema.fields if field.name.lower() not in new]
     schema = StructType([*passed, *fields])
     arrow = to_arrow_schema(schema)

@@ -249,7 +249,7 @@ def cut_out(text: str, hit: np.ndarray) -> tuple[list[dict], str]:
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE,
-    automaton_words: int = AUTOMATON_WORDS,
+    automaton_words: int = AUTOMATON_WORDS, keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with word counts, the items found (as strings, sorted), the hit spans in code
     points, the text without them, whether anything was hit and whether more than
@@ -282,14 +282,16 @@ def decontaminate(
                     where, rest = [], text
                 spans.append(where)
                 clean.append(rest)
+            texts_left = [clean] if keep_text else []
             return [
-                counts, n_hit, [sorted(map(str, x)) for x in found], spans, clean,
+                counts, n_hit, [sorted(map(str, x)) for x in found], spans, *texts_left,
                 n_hit > 0, n_hit > max_coverage * counts,
             ]
 
         return judge
 
-    return annotate(docs, kernel, FIELDS)
+    fields = FIELDS if keep_text else [f for f in FIELDS if f.name != "clean_text"]
+    return annotate(docs, kernel, fields, keep_text=keep_text)
 
 
 def items_digest(items: list[str]) -> str:

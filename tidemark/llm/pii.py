@@ -264,7 +264,7 @@ def _fixed_column(texts):
     return [[{"kind": k, "start": a, "end": b} for k, a, b in fixed_spans(t or "")] for t in texts]
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``base_spans`` (fixed patterns) and ``spans`` (these and the discovered)."""
     found = written(mentions(docs.select("doc_id", "text")), "pii-mentions")
     added = discovered(found, score_patterns(found))
@@ -273,6 +273,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         docs.withColumn("_text_hash", F.xxhash64("text")),
         lambda: lambda texts: [_fixed_column(texts)],
         [StructField("base_spans", span)],
+        keep_text=keep_text,
     )
     kinds = F.array(*map(F.lit, KINDS))
     place = lambda x: F.struct(F.array_position(kinds, x["kind"]), x["start"])

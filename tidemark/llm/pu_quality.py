@@ -128,7 +128,9 @@ def train_pu(
     return PuModel(dense, offset, prior)
 
 
-def pu_quality(docs: DataFrame, trusted: DataFrame, web: DataFrame) -> DataFrame:
+def pu_quality(
+    docs: DataFrame, trusted: DataFrame, web: DataFrame, keep_text: bool = True
+) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from a half on)."""
     model = docs.sparkSession.sparkContext.broadcast(train_pu(web, trusted))
 
@@ -139,6 +141,5 @@ def pu_quality(docs: DataFrame, trusted: DataFrame, web: DataFrame) -> DataFrame
 
         return judge
 
-    return annotate(
-        docs, kernel, [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    )
+    fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return annotate(docs, kernel, fields, keep_text=keep_text)

@@ -124,7 +124,9 @@ def train_quality(
     return QualityModel(dense, offset, slope, shift)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_probability=MIN_PROBABILITY) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, min_probability=MIN_PROBABILITY, keep_text: bool = True
+) -> DataFrame:
     """``docs`` with the rule columns, ``probability`` and ``kept``."""
     model = docs.sparkSession.sparkContext.broadcast(train_quality(docs, labels))
 
@@ -140,4 +142,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_probability=MIN_PROBAB
     fields = [
         *RULE_FIELDS, StructField("probability", DoubleType()), StructField("kept", BooleanType())
     ]
-    return annotate(docs, kernel, fields)
+    return annotate(docs, kernel, fields, keep_text=keep_text)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.pii import KINDS, count_kind, personal_data, span_text
 from tidemark.llm.pu_quality import pu_quality
 from tidemark.llm.quality_rules import quality_rules
@@ -30,7 +31,7 @@ def id_remainder(divisor: int):
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
-    return quality_rules(docs, labels).drop("text")
+    return quality_rules(docs, labels, keep_text=False)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from those."""
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
     trusted = labels.where((id_remainder(3) != 1) & (F.col("quality") == 1))
-    scored = pu_quality(docs, trusted, docs.where(id_remainder(3) != 1))
+    scored = pu_quality(docs, trusted, docs.where(id_remainder(3) != 1), keep_text=False)
     return scored.select(
         "doc_id", F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted"
     )
@@ -46,11 +47,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
-    return toxicity(docs, labels).drop("text")
+    return toxicity(docs, labels, keep_text=False)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(_documents(spark, sf_dir))
+    found = personal_data(_documents(spark, sf_dir), keep_text=False)
     return found.select(
         "doc_id",
         *(count_kind("base_spans", kind).alias(f"n_{kind}") for kind in KINDS),
@@ -60,7 +61,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select(
         "doc_id", "n_words", "n_hit",
         F.size("hit_items").cast("long").alias("n_items"),
@@ -69,6 +70,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_toxicity,
         op8_pii,
         op9_decontamination,
+        op10_jaccard_join,
     )
 }
 

@@ -182,7 +182,9 @@ def train_chain(
     return fit_chain(matrix, targets, categories)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_text: bool = True
+) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and ``is_toxic``."""
     chain = train_chain(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast(chain)
@@ -195,4 +197,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         return judge
 
     fields = [StructField(f"p_{name}", DoubleType()) for name in chain.categories]
-    return annotate(docs, kernel, [*fields, StructField("is_toxic", BooleanType())])
+    return annotate(
+        docs, kernel, [*fields, StructField("is_toxic", BooleanType())], keep_text=keep_text
+    )
