@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tidemark.session import working_path
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
@@ -72,8 +72,8 @@ def annotate(
     return docs.mapInArrow(run, schema)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: recovery starts from there."""
     path = working_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,6 @@ one; columns named like a result are replaced.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -36,19 +35,16 @@ from pyspark.sql.types import (
 )
 
 from tidemark.llm.batches import annotate
+from tidemark.llm.words import ALPHANUMERIC, Words
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
 AUTOMATON_WORDS = 100_000
-_WORD_BYTES = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32
-    for c in range(256)
-)
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # before lower-casing
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode().translate(_WORD_BYTES).split()
+def item_words(text: str | None) -> list[int]:
+    return Words([text], ALPHANUMERIC).hashes.tolist()
 
 
 @dataclass
@@ -56,7 +52,7 @@ class Automaton:
     """Generalised suffix automaton over word numbers, with the items found at each state."""
 
     window: int
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
+    vocabulary: dict[int, int] = field(default_factory=dict)
     moves: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
@@ -97,7 +93,7 @@ class Automaton:
             self.link[new] = target if whole else self._split(state, target, word)
         return new
 
-    def build(self, items: list[tuple[object, list[bytes]]]) -> Automaton:
+    def build(self, items: list[tuple[object, list[int]]]) -> Automaton:
         numbered = []
         for item, words in items:
             numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
@@ -175,14 +171,17 @@ class Scanner:
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
         self.pairs = automaton.neighbours()
+        hashes = np.array(list(automaton.vocabulary), np.uint64)
+        self.order = np.argsort(hashes)
+        self.known = hashes[self.order]
 
-    def scan(self, words: list[bytes], counts: np.ndarray) -> list[tuple[int, int, int, set]]:
+    def scan(self, words: Words) -> list[tuple[int, int, int, set]]:
         """(text, first word, end, items) of every hit; words are numbered within the slice."""
         auto = self.automaton
-        get = auto.vocabulary.get
-        ids = np.fromiter((get(word, -1) for word in words), np.int64, len(words))
-        owner = np.repeat(np.arange(len(counts)), counts)
-        known = ids >= 0
+        place = np.minimum(np.searchsorted(self.known, words.hashes), len(self.known) - 1)
+        known = self.known[place] == words.hashes
+        ids = np.where(known, self.order[place], -1)
+        owner = words.owner()
         joined = known[1:] & known[:-1] & (owner[1:] == owner[:-1])
         at = np.flatnonzero(joined)
         if len(at):
@@ -261,14 +260,12 @@ def decontaminate(
         scanners = [Scanner(one.value) for one in held]
 
         def judge(texts):
-            lists = [item_words(t) for t in texts]
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = [word for words in lists for word in words]
-            starts = np.cumsum(counts) - counts
-            hit = np.zeros(len(flat), bool)
+            words = Words(texts, ALPHANUMERIC)
+            counts, starts = words.counts, words.first
+            hit = np.zeros(len(words.hashes), bool)
             found: list[set] = [set() for _ in texts]
             for scanner in scanners:
-                for text, first, end, which in scanner.scan(flat, counts):
+                for text, first, end, which in scanner.scan(words):
                     hit[first:end] = True
                     found[text] |= which
             spans, clean = [], []
@@ -292,7 +289,3 @@ def decontaminate(
 
     fields = FIELDS if keep_text else [f for f in FIELDS if f.name != "clean_text"]
     return annotate(docs, kernel, fields, keep_text=keep_text)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
 from tidemark.llm.batches import annotate, bounded_batches, slices, texts_of, written
-from tidemark.llm.words import Corpus, mix, shingle_sets, split_words
+from tidemark.llm.words import SPACED_LOWER, Words, mix, shingle_sets
 
 SHINGLE = 4
 PERCENT = 85
@@ -109,7 +109,7 @@ def shingled(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def kernel():
         def judge(texts):
-            sets = shingle_sets(Corpus(split_words(texts, lower=True)), rule.shingle)
+            sets = shingle_sets(Words(texts, SPACED_LOWER), rule.shingle)
             return [[len(s) for s in sets], [set_digest(s) if len(s) else None for s in sets]]
 
         return judge
@@ -162,7 +162,7 @@ def candidate_links(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         numbers, ids, held = [], [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = shingle_sets(Corpus(split_words(texts_of(batch, "text"), True)), rule.shingle)
+                sets = shingle_sets(Words(texts_of(batch, "text"), SPACED_LOWER), rule.shingle)
                 for doc, shingles in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
                     if len(shingles):
                         own = block_numbers(shingles, rule)
@@ -314,7 +314,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, rule: Rule, block_rows: i
     arrays = annotate(
         docs.join(groups, "doc_id"),
         lambda: lambda texts: [
-            [s.tobytes() for s in shingle_sets(Corpus(split_words(texts, True)), rule.shingle)]
+            [s.tobytes() for s in shingle_sets(Words(texts, SPACED_LOWER), rule.shingle)]
         ],
         [StructField("shingles", BinaryType())],
         keep_text=False,

@@ -8,13 +8,12 @@ block, so scoring needs one gather per position and no per-text index.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import Corpus, split_words
+from tidemark.llm.words import Words
 
 DIMENSIONS = 1 << 18
 _MASK = np.uint32(DIMENSIONS - 1)
@@ -30,11 +29,9 @@ def _scatter(x: np.ndarray, salt: int) -> np.ndarray:
 
 def hashed_blocks(texts) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per block: (text, feature) of every position of all texts; None counts as empty."""
-    corpus = Corpus(split_words(texts))
-    known = np.fromiter((crc32(w) for w in corpus.vocabulary), np.uint32, len(corpus.vocabulary))
-    words = known[corpus.ids]
-    owner = np.repeat(np.arange(len(texts)), corpus.counts)
-    text, start = corpus.windows(2)
+    found = Words(texts)
+    words, owner = found.hashes.astype(np.uint32), found.owner()
+    text, start = found.windows(2)
     left, right = words[start], words[start + 1]
     # a word that follows itself is one feature whatever the word is
     pairs = np.where(left == right, np.uint32(1), left * _K[2] + right)

@@ -30,7 +30,7 @@ from tidemark.llm.linear import (
     sigmoid,
 )
 from tidemark.llm.training import sparse_sample
-from tidemark.llm.words import Corpus, sequence_hashes, split_words
+from tidemark.llm.words import Words, sequence_hashes
 
 TRAINING_ROWS = 4096
 FOLDS = 3
@@ -64,12 +64,12 @@ class QualityModel:
         return sigmoid(self.slope * z + self.shift)
 
 
-def repeated_words(corpus: Corpus, size: int) -> np.ndarray:
+def repeated_words(found: Words, size: int) -> np.ndarray:
     """Per text: words inside windows of ``size`` words that the text holds at least twice."""
-    text, start = corpus.windows(size)
-    covered = np.zeros(len(corpus.ids) + 1, np.int64)
+    text, start = found.windows(size)
+    covered = np.zeros(len(found.hashes) + 1, np.int64)
     if len(start):
-        key = sequence_hashes(corpus.hashes(), start, size)
+        key = sequence_hashes(found.hashes, start, size)
         order = np.lexsort((key, text))
         key, owner, start = key[order], text[order], start[order]
         same = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
@@ -77,9 +77,7 @@ def repeated_words(corpus: Corpus, size: int) -> np.ndarray:
         np.add.at(covered, start[twice], 1)
         np.add.at(covered, start[twice] + size, -1)
     inside = (np.cumsum(covered)[:-1] > 0).astype(np.int64)
-    return np.bincount(
-        np.repeat(np.arange(len(corpus.counts)), corpus.counts), inside, len(corpus.counts)
-    ).astype(np.int64)
+    return np.bincount(found.owner(), inside, len(found.counts)).astype(np.int64)
 
 
 def repeated_lines(text: str) -> int:
@@ -92,9 +90,9 @@ def repeated_lines(text: str) -> int:
 
 def rule_columns(texts) -> list[list]:
     full = [t or "" for t in texts]
-    corpus = Corpus(split_words(texts))
-    words = corpus.counts
-    repeated = repeated_words(corpus, REPEAT_WINDOW)
+    found = Words(texts)
+    words = found.counts
+    repeated = repeated_words(found, REPEAT_WINDOW)
     return [
         words.tolist(),
         [len(t) - sum(map(t.count, _SPACES)) for t in full],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard_join import jaccard_groups
+from tidemark.llm.packing import digests, packed, tokenized
 from tidemark.llm.pii import KINDS, count_kind, personal_data, span_text
 from tidemark.llm.pu_quality import pu_quality
 from tidemark.llm.quality_rules import quality_rules
@@ -34,6 +35,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, labels, keep_text=False)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(digests(tokenized(_documents(spark, sf_dir))))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are learned only from rows that are not held out; the unlabelled sample too comes
     from those."""
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op2_quality_rules,
+        op3_best_fit_packing,
         op5_quality_classifier,
         op6_toxicity,
         op8_pii,

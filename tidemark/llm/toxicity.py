@@ -15,7 +15,6 @@ repeated rows are scored one by one; columns named like a result are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField
 from tidemark.llm.batches import annotate
 from tidemark.llm.linear import DIMENSIONS, Matrix, fit_logistic, fold_of, sample_rows, sigmoid
 from tidemark.llm.training import sparse_sample
-from tidemark.llm.words import Corpus
+from tidemark.llm.words import ALPHANUMERIC, Words
 
 TRAINING_ROWS = 8192
 MIN_DOCUMENTS = 12
@@ -38,24 +37,14 @@ CATEGORY_TERMS = {
     "insult": ["clown", "idiot", "loser", "moron", "scum"],
     "contempt": ["disgusting", "pathetic", "stupid", "trash", "worthless"],
 }
-_KEPT = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32
-    for c in range(256)
-)
-
-
-def word_lists(texts) -> list[list[bytes]]:
-    """Lower-cased runs of letters, digits and characters beyond ASCII."""
-    return [[] if t is None else t.encode().translate(_KEPT).split() for t in texts]
 
 
 def present_features(texts, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the distinct hashed words, only of ``known`` features if given."""
-    corpus = Corpus(word_lists(texts))
-    hashed = np.fromiter((crc32(w) for w in corpus.vocabulary), np.int64, len(corpus.vocabulary))
-    hashed %= DIMENSIONS
-    owner = np.repeat(np.arange(len(texts)), corpus.counts)
-    feature = hashed[corpus.ids]
+    """(text, feature) of the distinct hashed words, only of ``known`` features if given. Words
+    are runs of ASCII letters, digits and characters beyond ASCII, without regard to case."""
+    words = Words(texts, ALPHANUMERIC)
+    owner = words.owner()
+    feature = (words.hashes % np.uint64(DIMENSIONS)).astype(np.int64)
     if known is not None:
         keep = known[feature]
         owner, feature = owner[keep], feature[keep]
