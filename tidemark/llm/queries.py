@@ -14,6 +14,7 @@ from tidemark.llm.pii import KINDS, count_kind, personal_data, span_text
 from tidemark.llm.pu_quality import pu_quality
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.toxicity import toxicity
+from tidemark.llm.warc import archive_folder, read_records, write_archives
 from tidemark.session import ensure_utc
 
 
@@ -39,6 +40,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(digests(tokenized(_documents(spark, sf_dir))))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark)
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_records(index, folder, payloads=False).drop("url")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are learned only from rows that are not held out; the unlabelled sample too comes
     from those."""
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op2_quality_rules,
         op3_best_fit_packing,
+        op4_warc,
         op5_quality_classifier,
         op6_toxicity,
         op8_pii,
@@ -92,4 +100,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: Base32 has no function in SQL: four groups of ten hexadecimal digits, eight characters each.
+_BASE32 = """array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((CAST('0x' || substr(hex, 1 + 10 * (k // 8), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31)::INT, 1)
+    FOR k IN range(32)], '')"""
+
+_OP4 = f"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), ranked AS (
+    SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM payloads
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM ranked
+"""
+
+_WORDS = """regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+')"""
+
+_OP9 = f"""
+WITH items AS (
+    SELECT item_id, ws, least(len(ws), 10) AS size FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)
+    WHERE len(ws) > 0
+), windows AS (
+    SELECT item_id, size, array_to_string(ws[p:p + size - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS p FROM items)
+), docs AS (
+    SELECT doc_id, {_WORDS} AS ws FROM documents
+), hits AS (
+    SELECT DISTINCT d.doc_id, d.p, w.size, w.item_id
+    FROM (
+        SELECT doc_id, size, p, array_to_string(ws[p:p + size - 1], ' ') AS gram
+        FROM (
+            SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p
+            FROM docs, (SELECT DISTINCT size FROM items)
+        )
+    ) d JOIN windows w ON d.size = w.size AND d.gram = w.gram
+), covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM (SELECT DISTINCT doc_id, p, size FROM hits))
+    GROUP BY doc_id
+), found AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_warc": _OP4, "op9_decontamination": _OP9}
