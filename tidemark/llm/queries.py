@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard_join import jaccard_groups
+from tidemark.llm.kneser_ney import score, train
 from tidemark.llm.packing import digests, packed, tokenized
 from tidemark.llm.pii import KINDS, count_kind, personal_data, span_text
 from tidemark.llm.pu_quality import pu_quality
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.token_counts import length_histogram
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.warc import archive_folder, read_records, write_archives
 from tidemark.session import ensure_utc
@@ -31,6 +33,10 @@ def id_remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(_documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
     return quality_rules(docs, labels, keep_text=False)
@@ -62,6 +68,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, labels, keep_text=False)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(id_remainder(10) == 0, F.lit(False))
+    scored = score(docs, train(docs.where(~held_out)), keep_text=False)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(_documents(spark, sf_dir), keep_text=False)
     return found.select(
@@ -89,11 +104,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
+        op1_token_counts,
         op2_quality_rules,
         op3_best_fit_packing,
         op4_warc,
         op5_quality_classifier,
         op6_toxicity,
+        op7_lm_scoring,
         op8_pii,
         op9_decontamination,
         op10_jaccard_join,

@@ -13,8 +13,8 @@ revisit it. Digests are grouped before payloads move; a payload that a third of
 is one row per task there, and its revisits are dealt over salts.
 
 Defined results: null html is an empty payload; a null URL is an empty one; repeated page ids
-are records of their own, the first by URL is the response among rows of one id; a null page id
-sorts last and is read back as null; other columns are not written; an empty table gives an
+are records of their own, one with another URL revisits the first, rows equal in all are each
+like the first; a null page id sorts last and is read back as null; other columns are not written; an empty table gives an
 empty index.
 """
 
