@@ -33,12 +33,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from tidemark.llm.batches import annotate, bounded_batches, slices, texts_of, written
+from tidemark.llm.planes import from_planes, from_steps, to_planes, to_steps
 from tidemark.llm.warc import file_system
 from tidemark.llm.words import SPACED_LOWER, Words, mix
 from tidemark.session import working_path
@@ -52,19 +52,6 @@ ADDED = 0.1  # of the base model
 # --- arrays in files and in shuffled rows -------------------------------------------------
 
 
-def squeeze(array: np.ndarray) -> bytes:
-    """Byte planes of the differences of neighbours, compressed."""
-    steps = np.diff(array.astype(np.uint64), prepend=np.uint64(0))
-    planes = steps.view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unsqueeze(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def save(folder: str, arrays: list[np.ndarray]) -> str:
     """One new file with all arrays one after the other; returns its name."""
     store, top = file_system(folder)
@@ -328,7 +315,7 @@ def count_level(
             rows = []
             for number, own in _split(shard_of(all_keys, below, hot, shards), shards):
                 rows.append(
-                    (number, 0, squeeze(all_keys[own]), _packed_counts(all_counts[own]), *[None] * 3)
+                    (number, 0, to_steps(all_keys[own]), to_planes(all_counts[own]), *[None] * 3)
                 )
             return _rows(rows)
 
@@ -358,8 +345,8 @@ def count_level(
     def merge(batches):
         for number, rows in _by_shard(batches):
             keys, counts = _summed(
-                np.concatenate([unsqueeze(r[2]) for r in rows]),
-                np.concatenate([_unpacked_counts(r[3]) for r in rows]),
+                np.concatenate([from_steps(r[2]) for r in rows]),
+                np.concatenate([from_planes(r[3]).astype(np.int64) for r in rows]),
             )
             arrays = shard_arrays(keys, counts)
             name = save(folder, arrays)
@@ -400,17 +387,6 @@ def count_level(
     return made_level
 
 
-def _packed_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(
-        np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
-    )
-
-
-def _unpacked_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
-
-
 def _by_shard(batches):
     """(shard, its rows); rows come sorted by shard."""
     current, held = None, []
@@ -444,7 +420,7 @@ def descend(spark: SparkSession, model: Model, level: int) -> None:
                 rows = []
                 ends, number_of = np.unique(keys % below, return_counts=True)
                 for target, own in _split(_shard_by_index(lower, ends), shards):
-                    rows.append((target, 1, squeeze(ends[own]), _packed_counts(number_of[own]), *[None] * 3))
+                    rows.append((target, 1, to_steps(ends[own]), to_planes(number_of[own]), *[None] * 3))
                 context, back = np.unique(keys // below, return_inverse=True)
                 n = len(context)
                 numbers = [
@@ -455,7 +431,7 @@ def descend(spark: SparkSession, model: Model, level: int) -> None:
                 ]
                 for target, own in _split(_shard_by_index(lower, context), shards):
                     rows.append(
-                        (target, 2, squeeze(context[own]), *(_packed_counts(x[own]) for x in numbers))
+                        (target, 2, to_steps(context[own]), *(to_planes(x[own]) for x in numbers))
                     )
                 yield _rows(rows)
 
@@ -464,12 +440,12 @@ def descend(spark: SparkSession, model: Model, level: int) -> None:
             n, base = lower.sizes[number], int(lower.offsets[number])
             columns = np.zeros((5, n), np.int64)
             for _, kind, where, *values in rows:
-                at = unsqueeze(where).astype(np.int64) - base
+                at = from_steps(where).astype(np.int64) - base
                 if kind == 1:
-                    columns[0][at] += _unpacked_counts(values[0])
+                    columns[0][at] += from_planes(values[0]).astype(np.int64)
                 else:
                     for column, value in zip(columns[1:], values, strict=True):
-                        column[at] += _unpacked_counts(value)
+                        column[at] += from_planes(value).astype(np.int64)
             kinds = ["u4", "u8", "u4", "u4", "u4"]
             name = save(folder, [c.astype(k) for c, k in zip(columns, kinds, strict=True)])
             counted = [int((columns[0] == k).sum()) for k in (1, 2, 3, 4)]
