@@ -11,11 +11,11 @@ at most ``(1 - t) / (1 + t) * (a + b)`` shingles; sizes within a factor of t are
    third of all rows costs is one row per task.
 2. Candidate groups. Candidates are kept as stars, whose connected groups hold every linking
    pair.
-3. Row blocks. Each group's rows are cut into blocks of ``BLOCK_ROWS``. Before that, all rows
-   are compared with one pivot of their group, in a join; only pairs of blocks that hold a row
-   not linked to the pivot are multiplied. A product accumulates overlaps over chunks of
-   columns, drops pairs below the overlap that their sizes demand, and emits a spanning forest
-   of its links, never all pairs.
+3. Row blocks. A group of at most ``BLOCK_ROWS`` is one block. The rows of a larger one are
+   compared with one pivot of the group, in a join, and cut into blocks by size; only pairs of
+   blocks whose sizes are compatible and that hold a row not linked to the pivot are multiplied.
+   A product accumulates overlaps over chunks of columns, drops pairs below the overlap that
+   their sizes demand, and emits a spanning forest of its links, never all pairs.
 4. The links' connected groups are the result.
 
 Every link between different sets is found, as each step only discards pairs that cannot link;
@@ -38,13 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
 from tidemark.llm.batches import annotate, bounded_batches, slices, texts_of, written
+from tidemark.llm.planes import from_planes, from_steps, to_planes, to_steps
 from tidemark.llm.words import SPACED_LOWER, Words, mix, shingle_sets
 
 SHINGLE = 4
 PERCENT = 85
-BLOCK_ROWS = 256
-BLOCK_COLUMNS = 8192
-SIZE_STEP = 1.5  # of the size classes that share a division of the columns
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20  # fewer rows to a block where sets are larger than this over BLOCK_ROWS
+BLOCK_COLUMNS = 4096
+SIZE_STEP = 1.25  # of the size classes that share a division of the columns
+HOT_SHINGLES = 1 << 17  # most frequent shingles left out of the column blocks; any set is exact
+HOT_DOCUMENTS = 48  # from so many documents on
 MAX_TASK_ROWS = 1 << 21  # block numbers a task holds before it sends them on
 
 
@@ -70,7 +74,7 @@ class Rule:
     def blocks(self, size_class: int) -> tuple[int, int]:
         """(blocks, most differing blocks) of a size class."""
         most = self.difference(self.largest(size_class))
-        return (most + max(1, most // 10) + 2 if most else 1), most
+        return (most + most // 16 + 3 if most else 1), most
 
     def classes_of(self, size: int) -> list[int]:
         """The own size class, and the next where a linking larger set may be in it."""
@@ -79,27 +83,76 @@ class Rule:
         return list(range(own, reach + 1))
 
 
-def block_numbers(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    """One number per column block that the set touches, for each of its size classes.
+def _divided(shingles: np.ndarray, blocks: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the content of each column block, and which blocks the set touches."""
+    block = (((mix(shingles) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    sums = np.append(np.uint64(0), np.cumsum(mix(~shingles)[order], dtype=np.uint64))
+    cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+    content = sums[cuts[1:]] - sums[cuts[:-1]]
+    place = np.arange(blocks, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(salt)
+    return mix(content + mix(place)), cuts[1:] > cuts[:-1]
 
-    Pairs agree on a block that both touch if their sets touch more blocks than they may differ
-    in. A set that touches no more than that adds the blocks it leaves empty: of two such sets
-    both do, and one that touches more finds its partners without them.
+
+def block_numbers(shingles: np.ndarray, cold: np.ndarray, rule: Rule) -> np.ndarray:
+    """Numbers of the column blocks of a set, for each of its size classes; ``cold`` marks the
+    shingles that are not hot.
+
+    Two linking sets agree on a block that both touch with cold shingles if one of them touches
+    more of those than they may differ in. A set that does not is divided once more with all its
+    shingles; if it still touches too few blocks, its empty ones count too. Of two sets that do
+    not find each other one way both go on to the next.
     """
     made = []
     for size_class in rule.classes_of(len(shingles)):
         blocks, most = rule.blocks(size_class)
-        block = ((mix(shingles) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        content = np.zeros(blocks, np.uint64)
-        np.add.at(content, block.astype(np.int64), mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        touched = np.zeros(blocks, bool)
-        touched[block.astype(np.int64)] = True
-        keep = np.ones(blocks, bool) if touched.sum() <= most else touched
-        salt = np.arange(blocks, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(size_class + 1)
-        made.append(mix(content + mix(salt))[keep])
+        numbers, touched = _divided(shingles[cold], blocks, 2 * size_class + 1)
+        made.append(numbers[touched])
+        if touched.sum() <= most:
+            numbers, touched = _divided(shingles, blocks, 2 * size_class + 2)
+            made.append(numbers if touched.sum() <= most else numbers[touched])
     return np.concatenate(made)
 
 
+def hot_shingles(docs: DataFrame, rule: Rule, least=HOT_DOCUMENTS, most=HOT_SHINGLES) -> np.ndarray:
+    """Sorted hashes of the shingles in the most documents, ``most`` at most. Tasks report what
+    they see at least twice, so a shingle counts if it is frequent in some tasks."""
+    bounded_batches(docs.sparkSession)
+
+    def emit(batches):
+        held, size = [], 0
+
+        def flush():
+            shingles, count = np.unique(np.concatenate(held), return_counts=True)
+            twice = count > 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shingles[twice].view(np.int64)), pa.array(count[twice])], ["shingle", "n"]
+            )
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = shingle_sets(Words(texts_of(batch, "text"), SPACED_LOWER), rule.shingle)
+                held += sets
+                size += sum(map(len, sets))
+                if size > 2 * MAX_TASK_ROWS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    counts = docs.select("text").mapInArrow(emit, "shingle long, n long")
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.sort(found.column("shingle").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def is_cold(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.ones(len(shingles), bool)
+    place = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+    return hot[place] != shingles
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -132,21 +185,32 @@ def _stars(numbers: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _BLOB = "bucket int, numbers binary, ids binary"
 
 
+def _pair_rows(pairs: np.ndarray, buckets: int):
+    """(bucket, ids, ids) of sorted distinct links, by their first id."""
+    bucket = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.unique(bucket).tolist():
+        own = order[cuts[k] : cuts[k + 1]]
+        yield k, to_planes(pairs[own, 0]), to_planes(pairs[own, 1])
+
+
 def _blobs(numbers: np.ndarray, ids: np.ndarray, buckets: int):
-    """One row per bucket; links come as bucket -1 - k, to be spread as well."""
+    """One row per bucket of numbers, and one per bucket -1 - k of links."""
     pairs, numbers, ids = _stars(numbers, ids)
-    bucket = (numbers >> np.uint64(40)).astype(np.int64) % buckets
+    bucket = (numbers >> np.uint64(24)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = []
     for k in range(buckets):
         own = order[cuts[k] : cuts[k + 1]]
         if len(own):
-            rows.append((k, numbers[own].tobytes(), ids[own].tobytes()))
-    for start in range(0, len(pairs), 1 << 16):
-        part = pairs[start : start + (1 << 16)]
-        spread = int(part[0, 0]) % buckets
-        rows.append((-1 - spread, part[:, 0].tobytes(), part[:, 1].tobytes()))
+            rows.append((k, to_steps(numbers[own]), to_planes(ids[own])))
+    rows += [(-1 - k, *arrays) for k, *arrays in _pair_rows(pairs, buckets)]
+    return _as_batch(rows)
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [(), (), ()]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
@@ -157,6 +221,7 @@ def _blobs(numbers: np.ndarray, ids: np.ndarray, buckets: int):
 def candidate_links(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     """(a, b) stars of documents that agree on a column block."""
     bounded_batches(docs.sparkSession)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, rule))
 
     def emit(batches):
         numbers, ids, held = [], [], 0
@@ -165,7 +230,7 @@ def candidate_links(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 sets = shingle_sets(Words(texts_of(batch, "text"), SPACED_LOWER), rule.shingle)
                 for doc, shingles in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
                     if len(shingles):
-                        own = block_numbers(shingles, rule)
+                        own = block_numbers(shingles, is_cold(shingles, hot.value), rule)
                         numbers.append(own)
                         ids.append(np.full(len(own), doc, np.int64))
                         held += len(own)
@@ -176,33 +241,43 @@ def candidate_links(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             yield _blobs(np.concatenate(numbers), np.concatenate(ids), buckets)
 
     def merge(batches):
+        """Links of equal numbers, once per partition, bucketed for the last step; links that
+        tasks have found themselves go on as they are."""
         current, numbers, ids = None, [], []
-
-        def flush():
-            pairs, _, _ = _stars(np.concatenate(numbers), np.concatenate(ids))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"]
-            )
-
+        found = [np.empty((0, 2), np.int64)]
         for batch in batches:
             for bucket, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.frombuffer(x, np.int64)) for x in (left, right)], ["a", "b"]
-                    )
+                    yield _as_batch([(-1 - bucket, left, right)])
                     continue
                 if bucket != current and numbers:
-                    yield flush()
+                    found.append(_stars(np.concatenate(numbers), np.concatenate(ids))[0])
                     numbers, ids = [], []
                 current = bucket
-                numbers.append(np.frombuffer(left, np.uint64))
-                ids.append(np.frombuffer(right, np.int64))
+                numbers.append(from_steps(left))
+                ids.append(from_planes(right).view(np.int64))
         if numbers:
-            yield flush()
+            found.append(_stars(np.concatenate(numbers), np.concatenate(ids))[0])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if len(pairs):
+            yield _as_batch(list(_pair_rows(pairs, buckets)))
+
+    def distinct(batches):
+        """Every link once: a bucket's rows all meet here."""
+        held = [np.empty((0, 2), np.int64)]
+        for batch in batches:
+            for _, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pair = [from_planes(x).view(np.int64) for x in (left, right)]
+                held.append(np.stack(pair, axis=1))
+                if sum(map(len, held)) > MAX_TASK_ROWS:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+        pairs = np.unique(np.concatenate(held), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     sent = rows.mapInArrow(emit, _BLOB).repartition(buckets, "bucket")
-    return sent.sortWithinPartitions("bucket").mapInArrow(merge, "a long, b long")
+    merged = sent.sortWithinPartitions("bucket").mapInArrow(merge, _BLOB)
+    return merged.repartition(buckets, "bucket").mapInArrow(distinct, "a long, b long")
 
 
 def _mark(edges: DataFrame):
@@ -305,21 +380,14 @@ def _tile_links(rows, rule: Rule):
     return nodes[a[chosen]], nodes[b[chosen]]
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
-    """(a, b) links that connect what the threshold connects within each candidate group.
+def _size_class(rule: Rule):
+    """Sizes that can link lie in one class or in neighbouring ones."""
+    width = float(np.log(100 / rule.percent))
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width) + F.lit(1e-9)).cast("int")
 
-    ``groups``: (doc_id, root), one row per document that has a candidate.
-    """
-    spark = docs.sparkSession
-    arrays = annotate(
-        docs.join(groups, "doc_id"),
-        lambda: lambda texts: [
-            [s.tobytes() for s in shingle_sets(Words(texts, SPACED_LOWER), rule.shingle)]
-        ],
-        [StructField("shingles", BinaryType())],
-        keep_text=False,
-    )
-    sets = written(arrays.select("doc_id", "root", "shingles"), "jaccard-sets")
+
+def compared_with_pivot(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, root, near): whether a row links to its group's root."""
     pivots = sets.where("doc_id = root").select("root", F.col("shingles").alias("pivot"))
 
     def compare(batches):
@@ -331,65 +399,90 @@ def verified_links(docs: DataFrame, groups: DataFrame, rule: Rule, block_rows: i
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(bool(rule.links(common, len(a), len(b))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("root"), pa.array(near)],
-                names=["doc_id", "root", "near"],
+                [*(batch.column(c) for c in ("doc_id", "root", "z")), pa.array(near)],
+                names=["doc_id", "root", "z", "near"],
             )
 
-    compared = written(
-        sets.join(pivots, "root").mapInArrow(
-            compare, "doc_id long, root long, near boolean"
-        ).groupBy("doc_id", "root").agg(F.max("near").alias("near")),
-        "jaccard-pivots",
-    )
-    with_pivot = compared.where("near AND doc_id != root").select(
-        F.col("root").alias("a"), F.col("doc_id").alias("b")
+    pairs = sets.join(pivots, "root").mapInArrow(
+        compare, "doc_id long, root long, z int, near boolean"
     )
-    # only groups with rows that the pivot did not link need products
-    sizes = compared.groupBy("root").agg(
-        F.count_if(~F.col("near")).alias("apart"), F.count("*").alias("rows")
+    return pairs.groupBy("doc_id", "root", "z").agg(F.max("near").alias("near"))
+
+
+def tiles_of(compared: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
+    """(doc_id, root, tile): the pairs of row blocks that a row of a large group is part of.
+
+    Blocks are rows of one size class, either linked to the pivot or apart from it. A tile is two
+    blocks of compatible size, at least one of them apart; the tile names the block apart first.
+    """
+    width = float(np.log(100 / rule.percent))
+    limit = F.greatest(
+        F.lit(1),
+        F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_SHINGLES) / F.exp((F.col("z") + 1) * F.lit(width)))),
     )
-    sizes = sizes.where("apart > 0").select(
-        "root",
-        F.ceil(F.col("apart") / block_rows).cast("int").alias("left_blocks"),
-        F.ceil((F.col("rows") - F.col("apart")) / block_rows).cast("int").alias("right_blocks"),
+    sizes = compared.groupBy("root", "z").agg(
+        F.ceil(F.count_if(~F.col("near")) / limit).cast("int").alias("apart"),
+        F.ceil(F.count_if("near") / limit).cast("int").alias("linked"),
     )
-    dealt = compared.join(sizes, "root").withColumn(
-        "block",
-        F.pmod(
-            F.xxhash64("doc_id"),
-            F.greatest(F.when(F.col("near"), F.col("right_blocks")).otherwise(F.col("left_blocks")), F.lit(1)),
-        ).cast("int"),
+    # the numbers of blocks of the class itself and of the classes before and after it
+    around = sizes.withColumn("shift", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    around = around.groupBy("root", (F.col("z") + F.col("shift")).alias("z")).agg(
+        *(
+            F.coalesce(F.max(F.when(F.col("shift") == -step, F.col(kind))), F.lit(0)).alias(
+                f"{kind}{name}"
+            )
+            for step, name in ((-1, "_before"), (0, "_own"), (1, "_after"))
+            for kind in ("apart", "linked")
+        )
     )
-    # tile (kind, i, j): rows apart against rows apart (i <= j), or against linked rows
-    apart = F.transform(
-        F.sequence(F.lit(0), F.col("left_blocks") - 1),
-        lambda k: F.struct(
-            F.lit(0).alias("kind"),
-            F.least(F.col("block"), k).alias("i"),
-            F.greatest(F.col("block"), k).alias("j"),
-            F.when(k >= F.col("block"), 0).otherwise(1).alias("side"),
-        ),
+    own = F.when(F.col("near"), F.col("linked_own")).otherwise(F.col("apart_own"))
+    dealt = compared.join(around, ["root", "z"]).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.greatest(own, F.lit(1))).cast("int")
     )
-    apart_linked = F.when(
-        F.col("right_blocks") > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.col("right_blocks") - 1, F.lit(0))),
-            lambda k: F.struct(
-                F.lit(1).alias("kind"), F.col("block").alias("i"), k.alias("j"), F.lit(0).alias("side")
-            ),
-        ),
-    ).otherwise(F.array())
-    linked = F.transform(
-        F.sequence(F.lit(0), F.col("left_blocks") - 1),
-        lambda k: F.struct(
-            F.lit(1).alias("kind"), k.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")
-        ),
+    z, block = F.col("z"), F.col("block")
+
+    def tile(kind: int, z_left, left, z_right, right, side):
+        return F.struct(
+            F.lit(kind).alias("kind"), z_left.alias("zl"), left.alias("i"), z_right.alias("zr"),
+            right.alias("j"), side.alias("side"),
+        )
+
+    def each(count: str, made):
+        """One tile per block of a neighbouring class."""
+        return F.transform(
+            F.filter(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1), lambda k: k < F.col(count)),
+            made,
+        )
+
+    zero, one = F.lit(0), F.lit(1)
+    apart = F.concat(
+        each("apart_own", lambda k: tile(
+            0, z, F.least(block, k), z, F.greatest(block, k), F.when(k >= block, 0).otherwise(1)
+        )),
+        each("apart_after", lambda k: tile(0, z, block, z + 1, k, zero)),
+        each("apart_before", lambda k: tile(0, z - 1, k, z, block, one)),
+        each("linked_own", lambda k: tile(1, z, block, z, k, zero)),
+        each("linked_after", lambda k: tile(1, z, block, z + 1, k, zero)),
+        each("linked_before", lambda k: tile(1, z, block, z - 1, k, zero)),
+    )
+    linked = F.concat(
+        each("apart_own", lambda k: tile(1, z, k, z, block, one)),
+        each("apart_after", lambda k: tile(1, z + 1, k, z, block, one)),
+        each("apart_before", lambda k: tile(1, z - 1, k, z, block, one)),
     )
-    tiles = dealt.withColumn(
-        "tile", F.explode(F.when(F.col("near"), linked).otherwise(F.concat(apart, apart_linked)))
+    return dealt.select(
+        "doc_id", "root", F.explode(F.when(F.col("near"), linked).otherwise(apart)).alias("tile")
     )
-    placed = sets.join(tiles.select("doc_id", "root", "tile"), ["doc_id", "root"])
-    placed = placed.select("root", "tile.kind", "tile.i", "tile.j", "tile.side", "doc_id", "shingles")
+
+
+_TILE = ["root", "kind", "zl", "i", "zr", "j"]
+
+
+def multiplied(placed: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): a spanning forest of the links of each tile; ``placed`` has the tile's columns,
+    ``side``, ``doc_id`` and ``shingles``."""
+    spark = placed.sparkSession
+    width = len(_TILE)
 
     def multiply(batches):
         key, rows = None, []
@@ -399,24 +492,55 @@ def verified_links(docs: DataFrame, groups: DataFrame, rule: Rule, block_rows: i
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            columns = [column.to_pylist() for column in batch.columns]
-            for root, kind, i, j, side, doc, shingles in zip(*columns, strict=True):
-                if (root, kind, i, j) != key:
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if row[:width] != key:
                     if rows:
                         yield flush()
-                    key, rows = (root, kind, i, j), []
-                rows.append((side, doc, np.frombuffer(shingles, np.uint64)))
+                    key, rows = row[:width], []
+                rows.append((*row[width:-1], np.frombuffer(row[-1], np.uint64)))
         if rows:
             yield flush()
 
-    tile = ["root", "kind", "i", "j"]
-    bounded_batches(spark)
-    products = (
-        placed.repartition(_partitions(spark), *tile)
-        .sortWithinPartitions(*tile)
+    return (
+        placed.select(*_TILE, "side", "doc_id", "shingles")
+        .repartition(_partitions(spark), *_TILE)
+        .sortWithinPartitions(*_TILE)
         .mapInArrow(multiply, "a long, b long")
     )
-    return with_pivot.unionByName(products)
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
+    """(a, b) links that connect what the threshold connects within each candidate group.
+
+    ``groups``: (doc_id, root, z, large), one row per document that has a candidate; ``large``
+    marks groups of more rows than a block.
+    """
+    # the condition holds for all; it lets Spark put a Bloom filter of the ids before the texts'
+    # shuffle, as it does by itself for scans of 10 GB
+    docs.sparkSession.conf.set(
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "32MB"
+    )
+    arrays = annotate(
+        docs.join(groups.where("z >= 0"), "doc_id"),
+        lambda: lambda texts: [
+            [s.tobytes() for s in shingle_sets(Words(texts, SPACED_LOWER), rule.shingle)]
+        ],
+        [StructField("shingles", BinaryType())],
+        keep_text=False,
+    )
+    sets = written(arrays.select("doc_id", "root", "z", "large", "shingles"), "jaccard-sets")
+    nothing = [F.lit(0).alias(c) for c in (*_TILE[1:], "side")]
+    small = sets.where("NOT large").select("root", *nothing, "doc_id", "shingles")
+    large = sets.where("large")
+    compared = written(compared_with_pivot(large, rule), "jaccard-pivots")
+    with_pivot = compared.where("near AND doc_id != root").select(
+        F.col("root").alias("a"), F.col("doc_id").alias("b")
+    )
+    tiles = tiles_of(compared, rule, block_rows)
+    placed = large.join(tiles, ["doc_id", "root"]).select(
+        "root", *(f"tile.{c}" for c in (*_TILE[1:], "side")), "doc_id", "shingles"
+    )
+    return with_pivot.unionByName(multiplied(small.unionByName(placed), rule))
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -428,6 +552,7 @@ def jaccard_groups(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest id that links reach."""
     spark, rule = docs.sparkSession, Rule(shingle, percent)
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = written(shingled(docs, rule), "jaccard-classes")
     # copies: rows with one set are linked to the smallest id among them
@@ -437,16 +562,24 @@ def jaccard_groups(
     copies = written(
         copies.where("doc_id != least").select("doc_id", "least").distinct(), "jaccard-copies"
     )
-    candidates = candidate_links(docs, rule, 4 * _partitions(spark)).distinct()
+    candidates = candidate_links(docs, rule, _partitions(spark))
     # candidates among representatives only; an id of several texts represents each of them
     of_class = lambda e, c: e.join(
         copies.select(F.col("doc_id").alias(c), F.col("least").alias("_to")), c, "left"
     ).withColumn(c, F.coalesce("_to", c)).drop("_to")
     candidates = of_class(of_class(candidates, "a"), "b").where("a != b")
-    groups = connected(candidates, "jaccard-candidates").select(
-        F.col("node").alias("doc_id"), "root"
+    groups = connected(candidates, "jaccard-candidates").select(F.col("node").alias("doc_id"), "root")
+    sized = usable.withColumn("z", _size_class(rule)).groupBy("doc_id").agg(
+        F.max("z").alias("z"), F.max("n_shingles").alias("n_shingles")
+    )
+    groups = groups.join(sized, "doc_id")
+    rows = groups.groupBy("root").agg(
+        (
+            (F.count("*") > block_rows) | (F.sum("n_shingles") > 4 * BLOCK_SHINGLES)
+        ).alias("large")
     )
-    links = verified_links(docs, written(groups, "jaccard-groups"), rule, block_rows)
+    groups = written(groups.join(rows, "root").select("doc_id", "root", "z", "large"), "jaccard-groups")
+    links = verified_links(docs, groups, rule, block_rows)
     links = links.unionByName(copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
     roots = connected(links, "jaccard-links")
     return sets.join(roots, sets["doc_id"] == roots["node"], "left").select(
