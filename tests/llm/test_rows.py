@@ -283,7 +283,7 @@ def test_archives_round_trip_through_their_index(spark):
     data += [(9, None, "<p>a</p>", 1), (10, "u", "z" * 300_000, 1)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, file int")
     folder = f"{warc.archive_folder(spark)}"
-    index = warc.write_archives(pages, folder, file_bytes=60_000)
+    index = warc.write_archives(pages, folder, file_bytes=1_000)
     assert index.count() == len(data) and index.select("file").distinct().count() > 1
     found = {r["page_id"]: r for r in warc.read_records(index, folder).collect()}
     first: dict = {}

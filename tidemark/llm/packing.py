@@ -37,6 +37,7 @@ ROUNDS = 400
 LEARNING_RATE = 0.1
 SHARE = 1.0  # of what the scarcest length of a configuration still allows
 TOLERANCE = 0.01
+REPACKED = (0.02, 0.1, 0.3)  # shares of the sequences tried for packing with the remainder
 
 Configuration = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -144,8 +145,29 @@ def solve(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -
         if not used:
             break
     remainder = {int(k): int(left[k]) for k in np.flatnonzero(left)}
-    uses.update(best_fit_decreasing(remainder, limit))
-    return Plan(sorted(uses.items(), reverse=True), bound)
+    best_uses = rounded(uses, remainder, limit, 0.0)
+    for share in REPACKED:
+        tried = rounded(uses, remainder, limit, share)
+        best_uses = min(best_uses, tried, key=lambda u: sum(u.values()))
+    return Plan(sorted(best_uses.items(), reverse=True), bound)
+
+
+def rounded(uses: Counter, remainder: dict[int, int], limit: int, share: float) -> Counter:
+    """Packs the remainder together with the pieces of the sequences used last, whose lengths
+    were scarce by then, and of all that have room left."""
+    kept, pool = Counter(), Counter(remainder)
+    spared = (1 - share) * sum(uses.values())
+    seen = 0
+    for configuration, count in uses.items():  # in the order of their first use
+        full = sum(length * copies for length, copies in configuration) == limit
+        stay = count if not share else int(min(count, max(0, spared - seen))) * full
+        seen += count
+        if stay:
+            kept[configuration] += stay
+        for length, copies in configuration:
+            if count > stay:
+                pool[length] += copies * (count - stay)
+    return kept + best_fit_decreasing(pool, limit)
 
 
 _PIECE = "doc_id {id}, piece int, start long, length long, ids binary, part int, place long"
