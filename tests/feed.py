@@ -1,23 +1,26 @@
-"""A small provider feed with known KPIs: two tenants, three days, one re-delivery."""
+"""A small provider feed with KPIs worked out by hand: two tenants, gaps, two re-deliveries."""
 
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta, timezone
 
-DAY = {1: 1780308000, 2: 1780394400, 3: 1780480800}  # 10:00 UTC on 2026-06-01 … 03
+_FIRST = datetime(2026, 3, 9, 7, 30, tzinfo=timezone.utc)
+DAY = {n: int((_FIRST + timedelta(days=n - 1)).timestamp()) for n in range(1, 5)}
 
 CREATED, DELETED = "customer.subscription.created", "customer.subscription.deleted"
 PAID, FAILED, REFUND = "invoice.paid", "invoice.payment_failed", "charge.refunded"
 DONE, EXPIRED = "checkout.session.completed", "checkout.session.expired"
 
 _PLAN = [
-    ("acct_alpha", 1, [(CREATED, 5000), (CREATED, 10000), (PAID, 5000), (PAID, 10000),
-                       (DONE, 5000), (DONE, 10000), (EXPIRED, 5000)]),
-    ("acct_alpha", 2, [(CREATED, 5000), (PAID, 5000), (FAILED, 10000), (REFUND, 2000),
-                       (DONE, 5000), (EXPIRED, 5000)]),
-    ("acct_alpha", 3, [(DELETED, 5000), (PAID, 10000), (FAILED, 5000), (DONE, 5000)]),
-    ("acct_beta", 1, [(CREATED, 20000), (PAID, 20000)]),
-    ("acct_beta", 2, [(PAID, 20000)]),
+    ("harbor_co", 1, [(CREATED, 3000), (CREATED, 4500), (CREATED, 2500), (PAID, 3000), (PAID, 4500),
+                      (FAILED, 2500), (DONE, 3000), (DONE, 4500), (DONE, 2500), (EXPIRED, 900)]),
+    ("quill_ltd", 1, [(CREATED, 9900), (PAID, 9900)]),
+    ("harbor_co", 2, [(DELETED, 4500), (PAID, 2500), (REFUND, 1500), (EXPIRED, 100), (EXPIRED, 100)]),
+    ("quill_ltd", 3, [(DELETED, 9900), (REFUND, 9900)]),
+    ("harbor_co", 4, [(CREATED, 12000), (DELETED, 2500), (PAID, 12000), (PAID, 3000), (FAILED, 3000),
+                      (FAILED, 3000), (REFUND, 3000), (DONE, 12000)]),
+    ("quill_ltd", 4, [(CREATED, 4400), (DONE, 4400), (PAID, 4400)]),
 ]
 
 
@@ -47,8 +50,7 @@ def events() -> list[dict]:
                     },
                 }
             )
-    out.append(dict(out[2]))  # the third event is delivered twice
-    return out
+    return [*out, dict(out[4]), dict(out[0])]  # two are delivered again
 
 
 def messages() -> list[bytes]:
@@ -58,17 +60,19 @@ def messages() -> list[bytes]:
 # tenant, date, mrr, active, new, churned, churn_rate, gross, refund, refund_rate,
 # ok, failed, failure_rate, completed, expired, conversion
 GOLD = [
-    ("acct_alpha", "2026-06-01", 150.0, 2, 2, 0, None, 150.0, 0.0, 0.0, 2, 0, 0.0, 2, 1, 0.6667),
-    ("acct_alpha", "2026-06-02", 200.0, 3, 1, 0, 0.0, 50.0, 20.0, 0.4, 1, 1, 0.5, 1, 1, 0.5),
-    ("acct_alpha", "2026-06-03", 150.0, 2, 0, 1, 0.3333, 100.0, 0.0, 0.0, 1, 1, 0.5, 1, 0, 1.0),
-    ("acct_beta", "2026-06-01", 200.0, 1, 1, 0, None, 200.0, 0.0, 0.0, 1, 0, 0.0, 0, 0, None),
-    ("acct_beta", "2026-06-02", 200.0, 1, 0, 0, 0.0, 200.0, 0.0, 0.0, 1, 0, 0.0, 0, 0, None),
+    ("harbor_co", "2026-03-09", 100.0, 3, 3, 0, None, 75.0, 0.0, 0.0, 2, 1, 0.3333, 3, 1, 0.75),
+    ("harbor_co", "2026-03-10", 55.0, 2, 0, 1, 0.3333, 25.0, 15.0, 0.6, 1, 0, 0.0, 0, 2, 0.0),
+    ("harbor_co", "2026-03-12", 150.0, 2, 1, 1, 0.5, 150.0, 30.0, 0.2, 2, 2, 0.5, 1, 0, 1.0),
+    ("quill_ltd", "2026-03-09", 99.0, 1, 1, 0, None, 99.0, 0.0, 0.0, 1, 0, 0.0, 0, 0, None),
+    ("quill_ltd", "2026-03-11", 0.0, 0, 0, 1, 1.0, 0.0, 99.0, None, 0, 0, None, 0, 0, None),
+    ("quill_ltd", "2026-03-12", 44.0, 1, 1, 0, None, 44.0, 0.0, 0.0, 1, 0, 0.0, 1, 0, 1.0),
 ]
 
 LIVE = [
-    ("acct_alpha", "2026-06-01", 150.0, 0.6667, 0.0, 3.0),
-    ("acct_alpha", "2026-06-02", 200.0, 0.5, 0.4, 2.0),
-    ("acct_alpha", "2026-06-03", 150.0, 1.0, 0.0, 1.0),
-    ("acct_beta", "2026-06-01", 200.0, 0.0, 0.0, 0.0),
-    ("acct_beta", "2026-06-02", 200.0, 0.0, 0.0, 0.0),
+    ("harbor_co", "2026-03-09", 100.0, 0.75, 0.0, 4.0),
+    ("harbor_co", "2026-03-10", 55.0, 0.0, 0.6, 2.0),
+    ("harbor_co", "2026-03-12", 150.0, 1.0, 0.2, 1.0),
+    ("quill_ltd", "2026-03-09", 99.0, 0.0, 0.0, 0.0),
+    ("quill_ltd", "2026-03-11", 0.0, 0.0, 0.0, 0.0),
+    ("quill_ltd", "2026-03-12", 44.0, 1.0, 0.0, 1.0),
 ]

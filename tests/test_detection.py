@@ -243,8 +243,7 @@ def test_classifier_learns_and_scores_perfect_predictions(spark, frame):
     assert (r["accuracy"], r["macro_f1"], r["weighted_f1"]) == (1.0, 1.0, 1.0)
 
 
-def test_classifier_hashes_when_the_vocabulary_is_large(spark, monkeypatch):
-    monkeypatch.setattr(classify, "VOCABULARY_ROWS", 64)
+def test_classifier_keeps_every_term_of_its_bounded_rows(spark):
     df = spark.createDataFrame(
         [(f"alpha beta {i} word{i % 40}", "a") for i in range(60)]
         + [(f"gamma delta {i} word{i % 40}", "b") for i in range(60)],
@@ -253,6 +252,9 @@ def test_classifier_hashes_when_the_vocabulary_is_large(spark, monkeypatch):
     fitted = classify.fit(df)
     got = classify.classify(df, fitted)
     assert got.where("prediction = label").count() > 100
+    assert {"alpha", "word1", "alpha beta"} <= set(fitted.counter.vocabulary)
+    few = classify.fit(df, training_rows=20)
+    assert len(few.counter.vocabulary) < len(fitted.counter.vocabulary)
 
 
 def test_split_sizes(spark):

@@ -27,7 +27,7 @@ def rows(df):
 def test_bronze_columns_and_values(spark, bronze):
     assert bronze.columns == [f.name for f in BRONZE.fields]
     first = bronze.where("event_id = 'evt_0001'").first()
-    assert str(first["event_date"]) == "2026-06-01"
+    assert str(first["event_date"]) == "2026-03-09"
     assert first["payload"].startswith('{"id":"obj_1"')
 
 
@@ -36,6 +36,8 @@ def test_bronze_keeps_rows_it_cannot_read(spark):
         [(b'{"id":"e1","tenant_id":"t","created":1780308180,"data":{}}',), (b"\xff not json",)],
         "value binary",
     )
+    dated = spark.createDataFrame([('{"id":"e2","created":"2026-05-01T10:00:00Z"}',)], "value string")
+    assert str(ingest.to_bronze(dated).first()["event_date"]) == "2026-05-01"
     got = ingest.to_bronze(raw).orderBy(F.col("event_id").asc_nulls_last()).collect()
     assert [r["event_id"] for r in got] == ["e1", None]
     assert got[0]["payload"] is None and got[1]["event_date"] is None
@@ -101,13 +103,15 @@ def test_webhooks_are_accepted_routed_or_quarantined(spark):
             ('{"id":"e2","type":"invoice.paid","data":{}}',),
             ("not-json",),
             ('{"type":"no id","data":{}}',),
+            ('{"id":"e3","type":"invoice.paid","data":{}} and more',),
+            ('{"id":"e4","type":"invoice.paid","data":{}},{"id":"e5","type":"x","data":{}}',),
         ],
         "value string",
     )
     parsed = ingest.parse_webhooks(raw)
     counts = {r["outcome"]: r["events"] for r in ingest.outcome_counts(parsed).collect()}
-    assert counts == {"accepted": 2, "rejected_payload": 2}
-    assert ingest.quarantine(parsed).count() == 2
+    assert counts == {"accepted": 2, "rejected_payload": 4}
+    assert ingest.quarantine(parsed).count() == 4
     records = {r["topic"]: r for r in bus.bus_records(ingest.envelopes(parsed)).collect()}
     assert records["stripe.events.acct_A"]["key"] == "acct_A"
     assert records["stripe.events.acct_A"]["value"].endswith(',"data":{"object":{"id":"in_1"}}}')
@@ -149,7 +153,9 @@ def test_gated_run_raises_on_breach(spark, bronze, tmp_path):
     assert medallion.gated_run(bronze, str(tmp_path / "ok")).where("status = 'FAIL'").isEmpty()
     broken = bronze.withColumn("tenant_id", F.lit(None).cast("string"))
     with pytest.raises(quality.GateBreach, match="bronze"):
-        medallion.gated_run(broken, str(tmp_path / "bad"))
+        medallion.gated_run(broken, str(tmp_path / "ok"))
+    published = tables.read_gold(spark, str(tmp_path / "ok"))
+    assert published.where("tenant_id IS NOT NULL").count() == len(GOLD)  # as before the breach
 
 
 def test_upsert_log_is_idempotent_and_newest_wins(spark, tmp_path):

@@ -60,7 +60,7 @@ def test_landing_is_partitioned_and_resumes_exactly_once(spark, folders):
     rows = spark.read.parquet(table)
     assert rows.count() == len(messages()) + 1
     assert rows.where("event_id is null").count() == 1
-    pruned = rows.where("event_date = date '2026-06-01' and tenant_id = 'acct_beta'")
+    pruned = rows.where("event_date = date '2026-03-09' and tenant_id = 'quill_ltd'")
     assert pruned.count() == 2
     assert "PartitionFilters: [isnotnull(event_date" in pruned._jdf.queryExecution().toString()
 
@@ -79,7 +79,9 @@ def test_running_mrr_is_carried_in_state(spark, folders):
     # Later days arrive first: the state must correct the totals of the days after.
     for part in reversed(parts(3)):
         write(spark, source, part)
-        done(live_kpis.start_running_mrr(events(spark, source), log, checkpoint))
+        done(live_kpis.start_deduped(events(spark, source), folders("fresh"), folders("fresh-cp")))
+        fresh = live_kpis.fresh_stream(spark, folders("fresh"))
+        done(live_kpis.start_running_mrr(fresh, log, checkpoint))
     got = live_kpis.newest_wins(
         spark.read.parquet(log), ["tenant_id", "metric_date"], "batch_id"
     ).drop("batch_id")
@@ -90,24 +92,38 @@ def test_re_deliveries_in_a_later_batch_are_dropped(spark, folders):
     source, table, checkpoint = folders("in"), folders("out"), folders("cp")
     for _ in range(2):
         write(spark, source, messages())
-        done(
-            live_kpis.deduped(events(spark, source))
-            .writeStream.format("parquet")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start(table)
-        )
-    assert spark.read.parquet(table).count() == len(messages()) - 1
+        done(live_kpis.start_deduped(events(spark, source), table, checkpoint))
+    assert spark.read.parquet(table).count() == len(messages()) - 2
 
 
-def test_late_rows_are_counted(spark, folders):
+def test_nothing_is_lost_behind_an_event_from_the_future(spark, folders):
+    source, log, checkpoint = folders("in"), folders("log"), folders("cp")
+    import json
+
+    future = json.dumps(
+        {"id": "evt_future", "source": "stripe", "tenant_id": "zz_late", "event_type": "invoice.paid",
+         "created": 4102444800, "data": {"object": {"amount": 700}}}
+    ).encode()
+    first, *others = parts(4)
+    for part in ([future], first, *others, first[:3], [future]):
+        write(spark, source, part)
+        done(live_kpis.start_daily(events(spark, source), log, checkpoint))
+    found = live_kpis.current_kpis(spark.read.parquet(log))
+    assert as_rows(found.where("tenant_id != 'zz_late'")) == sorted(LIVE)
+    assert found.where("tenant_id = 'zz_late'").count() == 1
+    tenants = spark.createDataFrame([("zz_late",)], "tenant_id string")
+    new = live_kpis.newcomers(spark.read.parquet(log), tenants)
+    assert {r[0] for r in new.collect()} == {r[0] for r in LIVE}
+
+
+def test_late_rows_are_kept(spark, folders):
     source, log, checkpoint = folders("in"), folders("log"), folders("cp")
     write(spark, source, messages())
-    arrived = F.lit("2026-06-04 09:00:00").cast("timestamp")
+    arrived = F.lit("2026-03-12 07:00:00").cast("timestamp")
     bronze = ingest.to_bronze(stream(spark, source)).withColumn("ingested_at", arrived)
     done(live_kpis.start_late(bronze, log, checkpoint, "2 days"))
     late = {str(r[0]): r[1] for r in live_kpis.late_by_day(spark.read.parquet(log)).collect()}
-    assert late == {"2026-06-01": 10}
+    assert late == {"2026-03-09": 14}
 
 
 def test_parity_reports_missing_and_different_days(spark):
@@ -120,5 +136,5 @@ def test_parity_reports_missing_and_different_days(spark):
     got = live_kpis.parity(live, spark.createDataFrame(changed, schema))
     assert live_kpis.parity(live, live).isEmpty()
     assert {(r["tenant_id"], r["metric_date"]) for r in got.collect()} == {
-        ("acct_alpha", "2026-06-01"), ("acct_beta", "2026-06-02"),
+        ("harbor_co", "2026-03-09"), ("quill_ltd", "2026-03-12"),
     }

@@ -48,8 +48,9 @@ def strict_cents(amount: Column) -> Column:
 
 
 def live_cents(amount: Column) -> Column:
-    """Whole cents, 0 where the text is missing or not an integer."""
-    return F.coalesce(amount.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Whole cents, fractions cut off, 0 where the text is missing or no number."""
+    whole = F.coalesce(amount.try_cast("bigint"), amount.try_cast("double").try_cast("bigint"))
+    return F.coalesce(whole, F.lit(0).cast("bigint"))
 
 
 def dollars(cents: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.operators import features, kpis, quality, silver
+from tidemark.session import working_path
 from tidemark.sources import sinks, tables
 
 
@@ -25,14 +26,19 @@ def gate_report(bronze: DataFrame, silver_rows: DataFrame, gold: DataFrame) -> D
 
 
 def gated_run(bronze: DataFrame, gold_path: str, enforce: bool = True) -> DataFrame:
-    """Writes gold, gates bronze, silver and the gold just written, returns the summary.
+    """Gates bronze, silver and a new gold, then publishes that; returns the summary.
 
-    With ``enforce`` a breach raises, so a caller never hands on a table that failed.
+    Silver and gold are written beside the published table first. With ``enforce`` a breach
+    raises, and what was published before stays as it was.
     """
-    typed = silver.to_silver(bronze)
-    sinks.write_gold(kpis.gold(kpis.daily_kpi(typed)), gold_path)
-    written = tables.read_gold(bronze.sparkSession, gold_path)
-    summary = quality.suite_summary(gate_report(bronze, typed, written))
+    spark = bronze.sparkSession
+    staged = working_path(spark, "gated-run")
+    silver.to_silver(bronze).write.parquet(f"{staged}/silver")
+    typed = spark.read.parquet(f"{staged}/silver")
+    sinks.write_gold(kpis.gold(kpis.daily_kpi(typed)), f"{staged}/gold")
+    made = tables.read_gold(spark, f"{staged}/gold")
+    summary = quality.suite_summary(gate_report(bronze, typed, made))
     if enforce:
         quality.enforce(summary)
+    sinks.write_gold(made, gold_path)
     return summary

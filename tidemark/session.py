@@ -64,6 +64,13 @@ def working_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store its scheme names."""
+    sc = spark.sparkContext
+    named = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(sc._jsc.hadoopConfiguration()).exists(named)
+
+
 def _package_bytes() -> bytes:
     folder = os.path.dirname(os.path.abspath(__file__))
     held = io.BytesIO()

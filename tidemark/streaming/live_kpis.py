@@ -1,22 +1,24 @@
-"""Continuous KPIs: dedupe, daily aggregation, keyed upsert, running MRR as state."""
+"""Continuous KPIs: dedupe by a log of ids, daily increments, running MRR as state.
+
+No watermark is involved: an event counts in its day whenever it comes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions.scalars import flexible_date, payload_struct
+from tidemark.functions.scalars import payload_struct
 from tidemark.operators.kpis import live_contributions, live_kpis
-from tidemark.session import ROCKSDB_PROVIDER
+from tidemark.session import ROCKSDB_PROVIDER, path_exists
 from tidemark.sources.sinks import newest_wins, upsert_batch
 
-# Wide enough for the provider's re-deliveries; later copies go to the late table.
-REDELIVERY_WINDOW = "3 days"
+AVAILABLE = {"availableNow": True}  # the trigger of a run that ends; a lasting one has a period
 
 
 def typed_events(bronze: DataFrame) -> DataFrame:
@@ -26,87 +28,131 @@ def typed_events(bronze: DataFrame) -> DataFrame:
         "tenant_id",
         "event_type",
         F.timestamp_seconds("created_epoch").alias("event_ts"),
-        flexible_date(F.col("created_epoch")).alias("event_date"),
+        F.to_date(F.timestamp_seconds("created_epoch")).alias("event_date"),
         payload_struct(F.col("payload"))["amount"].alias("amount"),
     )
 
 
-def deduped(events: DataFrame, delay: str = REDELIVERY_WINDOW) -> DataFrame:
-    """One row per event id among copies that arrive within the watermark delay."""
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def keep_fresh(batch: DataFrame, table: str, batch_id: int) -> DataFrame:
+    """Adds the events of a micro-batch that ``table`` does not hold yet, and returns them.
 
+    The table is its own log of ids, by batch and event date. A copy has the date of its first
+    delivery, so only the dates of the batch are read, however late it comes; nothing expires,
+    and an event dated in the future pushes nothing out. A batch that was written before a
+    failure is not written again.
+    """
+    spark = batch.sparkSession
+    path = f"{table}/batch_id={batch_id}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        rows = batch.dropDuplicates(["event_id"])
+        if path_exists(spark, table):
+            # one row per calendar day of the micro-batch
+            dates = [r[0] for r in batch.select("event_date").distinct().collect()]
+            known = spark.read.schema(f"{_KEPT}, batch_id int").parquet(table)
+            known = known.where(
+                (F.col("batch_id") != batch_id)
+                & (F.col("event_date").isin([d for d in dates if d]) | F.col("event_date").isNull())
+            )
+            rows = rows.join(known.select("event_id"), "event_id", "left_anti")
+        rows.write.mode("overwrite").partitionBy("event_date").parquet(path)
+    return spark.read.schema(_KEPT).parquet(path)
+
+
+_KEPT = (
+    "event_id string, tenant_id string, event_type string, event_ts timestamp, amount string, "
+    "event_date date"
+)
+
+
+def start_deduped(
+    events: DataFrame, table: str, checkpoint: str, trigger: dict = AVAILABLE, then=None
+) -> StreamingQuery:
+    """One row per event id, over all micro-batches; ``then`` gets a batch's new rows."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        fresh = keep_fresh(batch, table, batch_id)
+        if then is not None:
+            then(fresh, batch_id)
 
-def daily_stream(events: DataFrame, delay: str = REDELIVERY_WINDOW) -> DataFrame:
-    """Deduped events → daily sums per tenant, as an update stream."""
-    sums = [F.sum(c).alias(name) for name, c in live_contributions().items()]
     return (
-        deduped(events, delay)
-        .groupBy("tenant_id", F.window("event_ts", "1 day").alias("day"))
-        .agg(*sums)
-        .select(
-            "tenant_id",
-            F.to_date("day.start").alias("metric_date"),
-            *live_contributions(),
-        )
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(keep)
+        .trigger(**trigger)
+        .start()
     )
 
 
+def fresh_stream(spark: SparkSession, table: str) -> DataFrame:
+    """The rows that ``start_deduped`` adds, as a stream."""
+    return (
+        spark.readStream.schema(_KEPT)
+        .option("recursiveFileLookup", "false")
+        .option("basePath", table)
+        .parquet(f"{table}/batch_id=*")
+    )
+
+
+def daily_sums(events: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(name) for name, c in live_contributions().items()]
+    return events.groupBy("tenant_id", F.col("event_date").alias("metric_date")).agg(*sums)
+
+
 def start_daily(
-    events: DataFrame, table: str, checkpoint: str, delay: str = REDELIVERY_WINDOW
+    events: DataFrame, table: str, checkpoint: str, trigger: dict = AVAILABLE
 ) -> StreamingQuery:
-    """Upserts the changed daily sums of every micro-batch into the change log at ``table``.
+    """Adds the daily sums of every micro-batch's new events to the log at ``table``.
 
-    The update stream carries each changed day's full totals, so the newest row of a key is
-    its true value and a repeated batch changes nothing.
+    The log holds increments, one folder per batch: a late event adds to its day, and a
+    repeated batch replaces its own folder. The events themselves are kept beside it.
     """
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(batch, table, batch_id)
-
-    return (
-        daily_stream(events, delay)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(upsert)
-        .trigger(availableNow=True)
-        .start()
+    return start_deduped(
+        events,
+        f"{table}.events",
+        checkpoint,
+        trigger,
+        then=lambda fresh, batch_id: upsert_batch(daily_sums(fresh), table, batch_id),
     )
 
 
-def current_kpis(change_log: DataFrame) -> DataFrame:
-    """Change log → live KPI rows; running MRR is recomputed on the small daily table."""
-    daily = newest_wins(change_log, ["tenant_id", "metric_date"], "batch_id")
+def current_kpis(increments: DataFrame) -> DataFrame:
+    """Log of increments → live KPI rows; running MRR is recomputed on the small daily table."""
+    names = list(live_contributions())
+    daily = increments.groupBy("tenant_id", "metric_date").agg(*(F.sum(n).alias(n) for n in names))
     return live_kpis(daily)
 
 
+def newcomers(increments: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Tenants of the stream that the tenant table does not hold yet."""
+    return increments.select("tenant_id").distinct().join(tenants, "tenant_id", "left_anti")
+
+
 def start_late(
-    bronze: DataFrame, path: str, checkpoint: str, delay: str = REDELIVERY_WINDOW
+    bronze: DataFrame, path: str, checkpoint: str, delay: str, trigger: dict = AVAILABLE
 ) -> StreamingQuery:
-    """Counts, per day, the rows that arrive later than the watermark delay allows.
-
-    A row at most ``delay`` behind its event time is never behind the watermark when rows are
-    processed in arrival order, so these are the rows the live path may drop. The batch gold
-    includes them.
-    """
+    """Keeps the rows that arrive more than ``delay`` after their event time, for a report: the
+    live path counts them in their day like any other."""
     event_ts = F.timestamp_seconds("created_epoch")
     late = bronze.where(F.col("ingested_at") > event_ts + F.expr(f"interval {delay}"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        counted = batch.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
-        upsert_batch(counted, path, batch_id)
+        upsert_batch(
+            batch.select("event_id", "tenant_id", "event_date", "created_epoch", "ingested_at"),
+            path,
+            batch_id,
+        )
 
     return (
         late.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(keep)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def late_by_day(counts: DataFrame) -> DataFrame:
+def late_by_day(late: DataFrame) -> DataFrame:
     """Late rows per day over all micro-batches of ``start_late``."""
-    return counts.groupBy("event_date").agg(F.sum("events").alias("events"))
+    return late.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
 
 # --- Running MRR as state -----------------------------------------------------------------
@@ -160,9 +206,10 @@ class RunningMrr(StatefulProcessor):
 
 
 def start_running_mrr(
-    events: DataFrame, table: str, checkpoint: str, delay: str = REDELIVERY_WINDOW
+    events: DataFrame, table: str, checkpoint: str, trigger: dict = AVAILABLE
 ) -> StreamingQuery:
-    """Deduped events → running MRR rows in the change log at ``table``; totals live in state.
+    """Deduped events (``fresh_stream``) → running MRR rows in the change log at ``table``; totals
+    live in state.
 
     Arbitrary state needs the RocksDB state store.
     """
@@ -170,7 +217,7 @@ def start_running_mrr(
         "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
     )
     running = (
-        mrr_deltas(deduped(events, delay))
+        mrr_deltas(events)
         .groupBy("tenant_id")
         .transformWithStateInPandas(
             statefulProcessor=RunningMrr(),
@@ -187,7 +234,7 @@ def start_running_mrr(
         running.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(upsert)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
