@@ -87,8 +87,10 @@ class Matrix:
         rows = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(f) for f, _ in pairs])
         flat = np.concatenate([f for f, _ in pairs] or [np.empty(0, np.int32)])
         values = np.concatenate([v for _, v in pairs] or [np.empty(0, np.float32)])
-        features, columns = np.unique(flat, return_inverse=True)
-        return cls(rows, columns.astype(np.int32), values, features, len(pairs))
+        present = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        present[flat] = True
+        number = np.cumsum(present, dtype=np.int32) - 1
+        return cls(rows, number[flat], values, np.flatnonzero(present), len(pairs))
 
     def take(self, chosen: np.ndarray) -> Matrix:
         """The rows marked in ``chosen``, over the same columns."""

@@ -37,8 +37,8 @@ from tidemark.llm.linear import (
 )
 from tidemark.llm.training import sparse_sample
 
-POSITIVE_ROWS = 3000
-UNLABELLED_ROWS = 6000
+POSITIVE_ROWS = 2000
+UNLABELLED_ROWS = 3500
 EPOCHS = 40
 BATCHES = 10
 RATE = 0.05

@@ -50,10 +50,13 @@ def sparse_sample(
                 )
 
     table = picked.mapInArrow(run, _SCHEMA).toArrow()
+    if not table.num_rows:
+        return Matrix.of([]), np.empty((0, len(targets)), np.int64)
     found = sorted(
         zip(*(table.column(c).to_pylist() for c in table.column_names), strict=True),
         key=lambda row: (hash_key(row[0]), row[0], row[1], row[2]),
     )
+    del table
     pairs = [
         (np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for _, f, v, _ in found
     ]
