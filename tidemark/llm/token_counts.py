@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import bounded_batches, slices, texts_of
+from tidemark.llm.batches import bounded_batches, slices, texts_of, written
 
 STRETCH = 1024
 _ENCODINGS: dict[str, object] = {}
@@ -75,7 +75,8 @@ def length_histogram(docs: DataFrame, by: list[str] = (), path: str | None = Non
     tokens after truncation to it, and the share of documents up to it."""
     by = list(by)
     counts = encoded_lengths(docs, by, path).groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
-    return suffix_sums(counts, by)
+    # the counts are few and used twice; texts are encoded once
+    return suffix_sums(written(counts, "token-counts"), by)
 
 
 def suffix_sums(counts: DataFrame, by: list[str]) -> DataFrame:
