@@ -85,9 +85,10 @@ def kpi_upsert(spark, sf_dir):
 
 
 def tenant_anti_insert(spark, sf_dir):
+    """Known are the tenants with a refund on the first day; all others are new."""
     live = live_of(spark, sf_dir)
-    known = live.where("metric_date = date '2024-01-01'").select("tenant_id").distinct()
-    return sinks.new_tenants(known, live)
+    known = live.where("metric_date = date '2024-01-01' AND refund_rate > 0")
+    return sinks.new_tenants(known.select("tenant_id").distinct(), live)
 
 
 def anomaly_upsert(spark, sf_dir):
@@ -107,7 +108,10 @@ def anomaly_upsert(spark, sf_dir):
         .withColumn("anomaly_score", F.lit(1.5))
         .select(*columns)
     )
-    return sinks.merge_columns(current, changes, keys, ["status", "detected_at"])
+    path = working_path(spark, "anomaly-log")
+    sinks.upsert_batch(current, path, 0, "metric_date")
+    sinks.upsert_columns(changes, path, 1, keys, ["status", "detected_at"], "metric_date")
+    return sinks.read_upserted(spark, path, keys)
 
 
 def anomaly_bundle(spark, sf_dir):
@@ -256,7 +260,7 @@ ORACLE = {
       FROM live""",
     "tenant_anti_insert": f"""WITH {sql.LIVE}
       SELECT DISTINCT tenant_id FROM live WHERE tenant_id NOT IN
-        (SELECT tenant_id FROM live WHERE metric_date = DATE '2024-01-01')""",
+        (SELECT tenant_id FROM live WHERE metric_date = DATE '2024-01-01' AND refund_rate > 0)""",
     "anomaly_upsert": f"""WITH {sql.RECORDS}
       SELECT tenant_id, metric_date, anomaly_type, anomaly_score,
         CASE WHEN anomaly_score >= 0.95 THEN 'ready' ELSE 'held_for_review' END AS status,

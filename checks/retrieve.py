@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql
-from checks.common import features_of, rule_records_of
+from checks.common import features_of, gold_of, rule_records_of
 from tidemark.functions import scalars, text
 from tidemark.operators import classify, grounding, retrieval
-from tidemark.plans import detection, explain
+from tidemark.plans import alerting, detection, explain
+from tidemark.session import working_path
+from tidemark.sources import sinks
 from tidemark.sources.tables import spread, supplied
 
 
@@ -176,10 +178,22 @@ def alert_status(spark, sf_dir):
 
 
 def retry_wider(spark, sf_dir):
-    """First pass and, where it is not grounded enough, the pass with one document more."""
+    """First pass and, where it is not grounded enough, the pass with one document more.
+
+    Explanations of failed payments also quote the document that only the wider pass reads;
+    those of price effects state figures that no document has.
+    """
     records = explain.with_query(rule_records_of(spark, sf_dir))
-    found = explain.with_context(records, _docs(spark, sf_dir), 4)
-    rows = explain.explained(found)
+    found = explain.grounded(explain.with_context(records, _docs(spark, sf_dir), 4))
+    kind = F.col("anomaly_type")
+    quoted = (
+        F.when(kind == "payment_failure", F.try_element_at("context", F.lit(4))["text"])
+        .when(kind == "pricing_effect", "Roughly 1,234,567 invoices, 98765 cards and 43219 plans.")
+        .otherwise("")
+    )
+    rows = explain.checked(
+        found.withColumn("explanation", F.concat_ws(" ", "explanation", quoted))
+    )
     return rows.select(
         "tenant_id", "metric_date", F.size("context").alias("documents"), "retried",
         F.round("first_faithfulness", 9).alias("first_faithfulness"),
@@ -196,6 +210,28 @@ def rule_alerts(spark, sf_dir):
     )
 
 
+#: (records, documents read) of each run of the alert job.
+_RUNS = [(24, 1), (8, 3)]
+
+
+def anomaly_log(spark, sf_dir):
+    """The alert job run twice over stored gold: the second run reads more documents for fewer
+    records and refreshes every column of those."""
+    gold, log = working_path(spark, "gold"), working_path(spark, "anomaly-log")
+    sinks.write_gold(gold_of(spark, sf_dir), gold)
+    detect = lambda frame: detection.rule_records(detection.zscore_scores(frame))
+    for run, (top_k, base_k) in enumerate(_RUNS):
+        alerting.log_alerts(
+            spark, gold, _docs(spark, sf_dir), log, run, detect, top_k, base_k, F.lit(f"run {run}")
+        )
+    listed = F.array_join(F.transform("sources", lambda s: s.cast("string")), ",")
+    return alerting.read_log(spark, log).select(
+        "tenant_id", "metric_date", "anomaly_type", "anomaly_score", "type_confidence",
+        "explanation", "faithfulness", "status", listed.alias("sources"), "detected_at",
+        *(F.element_at("metrics", m).alias(m) for m in sql.METRICS),
+    )
+
+
 def explained_alerts(spark, sf_dir):
     """The whole chain: ensemble, classifier, search, explanation, grounding, status."""
     frame = features_of(spark, sf_dir)
@@ -215,7 +251,7 @@ QUERIES = {
     for f in (
         hash_embed, query_doc_pairs, bm25_rank, dense_rank, top_k_docs, rrf_fuse, freshness_boost,
         hybrid_search, build_query, grounded_template, alert_text, reason_context, faithfulness,
-        alert_status, retry_wider, rule_alerts, explained_alerts,
+        alert_status, retry_wider, rule_alerts, anomaly_log, explained_alerts,
     )
 }
 
@@ -267,37 +303,62 @@ graded AS (SELECT *, {_grounding("lead", "stated")} AS faithfulness FROM checked
 _STATUS = """CASE WHEN type_confidence < 0.6 THEN 'held_for_review'
   WHEN faithfulness < 0.85 THEN 'held_low_faithfulness' ELSE 'ready' END"""
 
-_EXPLAINED = sql.RECORDS + f""",
+_QUERIED = sql.RECORDS + f""",
 queried AS (SELECT *, {_QUERY_TEXT} AS query FROM flagged),
 asking AS (SELECT row_number() OVER (ORDER BY query) AS query_id, query AS text
-  FROM (SELECT DISTINCT query FROM queried)),""" + sql.HYBRID + f""",
-contexts AS (
+  FROM (SELECT DISTINCT query FROM queried)),""" + sql.HYBRID
+
+
+def _explained(base_k: int, quoted: str = "''") -> str:
+    """CTEs up to final_<k>: explanations checked against k documents, then against one more."""
+    return f""",
+contexts_{base_k} AS (
   SELECT a.text AS query,
     first(d.text ORDER BY f.position) AS lead,
-    string_agg(d.text, ' | ' ORDER BY f.position) FILTER (f.position < 3) AS narrow,
+    first(d.text ORDER BY f.position) FILTER (f.position = {base_k}) AS last_text,
+    string_agg(d.text, ' | ' ORDER BY f.position) FILTER (f.position < {base_k}) AS narrow,
     string_agg(d.text, ' | ' ORDER BY f.position) AS wide,
-    string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY f.position) FILTER (f.position < 3)
+    string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY f.position) FILTER (f.position < {base_k})
       AS narrow_ids,
     string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY f.position) AS wide_ids
   FROM found f JOIN documents d USING (doc_id) JOIN asking a USING (query_id)
-  WHERE f.position < 4 GROUP BY a.text
+  WHERE f.position <= {base_k} GROUP BY a.text
 ),
-stated AS (
+stated_{base_k} AS (
   SELECT q.*, c.* EXCLUDE (query),
     'Tenant ' || tenant_id || ' shows a ' || anomaly_type || ' anomaly on ' || metric_date
     || ' (score ' || anomaly_score || '). The main drivers were ' || drivers || '. '
-    || string_split(trim(string_split(lead, chr(10))[1]), '.')[1] || '.' AS explanation
-  FROM queried q JOIN contexts c ON c.query = q.query
+    || string_split(trim(string_split(lead, chr(10))[1]), '.')[1] || '.'
+    || {quoted} AS explanation
+  FROM queried q JOIN contexts_{base_k} c ON c.query = q.query
 ),
-passes AS (
-  SELECT *, {_grounding("narrow")} AS first_faithfulness, {_grounding("wide")} AS wider FROM stated
+passes_{base_k} AS (
+  SELECT *, {_grounding("narrow")} AS first_faithfulness, {_grounding("wide")} AS wider
+  FROM stated_{base_k}
 ),
-final AS (
+final_{base_k} AS (
   SELECT *, first_faithfulness < 0.85 AS retried,
     CASE WHEN first_faithfulness < 0.85 THEN wider ELSE first_faithfulness END AS faithfulness
-  FROM passes
+  FROM passes_{base_k}
 )"""
 
+
+_QUOTED = """CASE anomaly_type WHEN 'payment_failure' THEN ' ' || last_text
+  WHEN 'pricing_effect' THEN ' Roughly 1,234,567 invoices, 98765 cards and 43219 plans.'
+  ELSE '' END"""
+
+
+def _logged(run: int) -> str:
+    """Rows of one run of the alert job."""
+    top_k, base_k = _RUNS[run]
+    return f"""SELECT tenant_id, metric_date, anomaly_type, anomaly_score, type_confidence, explanation,
+        round(faithfulness, 3) AS faithfulness, {_STATUS} AS status,
+        CASE WHEN retried THEN wide_ids ELSE narrow_ids END AS sources, 'run {run}' AS detected_at,
+        {", ".join(sql.METRICS)}
+      FROM (SELECT *, row_number() OVER (ORDER BY anomaly_score DESC, tenant_id, metric_date) AS place
+        FROM final_{base_k}) WHERE place <= {top_k}"""
+
+
 ORACLE = {
     "hash_embed": f"""WITH t AS (
         SELECT doc_id, unnest({sql.TOKENS.format("text")}) AS token FROM documents),
@@ -369,13 +430,18 @@ ORACLE = {
       SELECT tenant_id, metric_date, round(faithfulness, 9) AS faithfulness FROM graded""",
     "alert_status": f"""WITH {_CHECKED}
       SELECT tenant_id, metric_date, {_STATUS} AS status FROM graded""",
-    "retry_wider": f"""WITH {_EXPLAINED}
+    "retry_wider": f"""WITH {_QUERIED}{_explained(3, _QUOTED)}
       SELECT tenant_id, metric_date, CASE WHEN retried THEN 4 ELSE 3 END AS documents, retried,
         round(first_faithfulness, 9) AS first_faithfulness,
-        round(faithfulness, 9) AS faithfulness FROM final""",
-    "rule_alerts": f"""WITH {_EXPLAINED}
+        round(faithfulness, 9) AS faithfulness FROM final_3""",
+    "rule_alerts": f"""WITH {_QUERIED}{_explained(3)}
       SELECT tenant_id, metric_date, anomaly_type, round(faithfulness, 3) AS faithfulness,
         {_STATUS} AS status, explanation,
         CASE WHEN retried THEN wide_ids ELSE narrow_ids END AS sources
-      FROM final""",
+      FROM final_3""",
+    "anomaly_log": f"""WITH {_QUERIED}{_explained(1)}{_explained(3)},
+      first_run AS ({_logged(0)}),
+      second_run AS ({_logged(1)})
+      SELECT * FROM second_run UNION ALL
+      SELECT f.* FROM first_run f ANTI JOIN second_run USING (tenant_id, metric_date, anomaly_type)""",
 }

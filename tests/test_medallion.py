@@ -167,12 +167,37 @@ def test_upsert_log_is_idempotent_and_newest_wins(spark, tmp_path):
     assert rows(sinks.read_upserted(spark, path, ["k"])) == [("a", 1), ("b", 2), ("c", 2)]
 
 
-def test_merge_columns_updates_only_what_it_is_told(spark):
-    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, v int, s string")
-    new = spark.createDataFrame([("b", 2, "y"), ("c", 2, "y")], "k string, v int, s string")
-    assert rows(sinks.merge_columns(old, new, ["k"], ["s"])) == [
-        ("a", 1, "x"), ("b", 1, "y"), ("c", 2, "y"),
+LOGGED = "k string, day string, v int, s string"
+
+
+def test_log_upsert_updates_only_what_it_is_told(spark, tmp_path):
+    path = str(tmp_path / "log")
+    old = [("a", "2026-03-01", 1, "x"), ("b", "2026-03-01", 1, "x"), ("b", "2026-03-02", 1, "x")]
+    new = [("b", "2026-03-01", 2, "y"), ("c", "2026-03-04", 2, "y")]
+    for batch, made in enumerate((old, new, new)):
+        changes = spark.createDataFrame(made, LOGGED)
+        number = min(batch, 1)  # the last one is a retry
+        sinks.upsert_columns(changes, path, number, ["k", "day"], ["s"], "day")
+    expected = [
+        ("a", "2026-03-01", 1, "x"), ("b", "2026-03-01", 1, "y"), ("b", "2026-03-02", 1, "x"),
+        ("c", "2026-03-04", 2, "y"),
     ]
+    assert rows(sinks.read_upserted(spark, path, ["k", "day"])) == expected
+
+
+def test_compacted_log_holds_each_key_once_and_goes_on(spark, tmp_path):
+    path, into = str(tmp_path / "log"), str(tmp_path / "compact")
+    for batch in range(3):
+        changes = [("a", "2026-03-01", batch, "x"), (f"b{batch}", "2026-03-02", batch, "x")]
+        sinks.upsert_batch(spark.createDataFrame(changes, LOGGED), path, batch, "day")
+    sinks.compact(spark, path, into, ["k", "day"])
+    assert spark.read.parquet(into).count() == 4
+    assert rows(sinks.read_upserted(spark, into, ["k", "day"])) == rows(
+        sinks.read_upserted(spark, path, ["k", "day"])
+    )
+    later = spark.createDataFrame([("a", "2026-03-01", 9, "z")], LOGGED)
+    sinks.upsert_columns(later, into, 3, ["k", "day"], ["s"], "day")
+    assert ("a", "2026-03-01", 2, "z") in rows(sinks.read_upserted(spark, into, ["k", "day"]))
 
 
 def test_adapter_sums_volume_and_fills_rates(spark):

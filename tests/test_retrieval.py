@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text
 from tidemark.operators import grounding, retrieval
-from tidemark.plans import explain
+from tidemark.plans import alerting, explain
 
 CORPUS = [
     (0, "Invoices bounce when banks renew their cards; ask the ledger team for the retry plan.", 900),
@@ -202,24 +202,60 @@ def test_alert_chain(spark, confidence, status):
     assert "refund_rate (+0.27sd), mrr (-4.30sd)" in alert["explanation"]
 
 
-def test_ungrounded_text_is_retried_with_one_document_more(spark):
-    records = explain.with_query(record(spark))
-    found = explain.with_context(records, docs_frame(spark), 4)
-    # An invented lead: its numbers are in no record and not among the sources scored.
-    invented = found.withColumn(
+FIGURES = "We count 61234 and 71234 and 81234 and 91234 of them."
+
+
+@pytest.mark.parametrize(
+    ("written_in", "retried", "documents", "score"),
+    [(0, False, 3, 1.0), (3, True, 4, 1.0), (None, True, 4, 0.0)],
+)
+def test_ungrounded_text_is_retried_with_one_document_more(
+    spark, written_in, retried, documents, score
+):
+    """The figures stand in the first document, only in the one more, or nowhere."""
+    found = explain.with_context(explain.with_query(record(spark)), docs_frame(spark), 4)
+    context = F.transform(
         "context",
-        F.transform(
-            "context",
-            lambda d, i: d.withField("text", F.when(i == 0, F.lit("x")).otherwise(d["text"])),
+        lambda d, i: d.withField(
+            "numbers",
+            F.when(i == (-1 if written_in is None else written_in), scalars.numbers(F.lit(FIGURES)))
+            .otherwise(d["numbers"]),
         ),
-    )
-    stated = explain.explained(invented).first()
-    assert not stated["retried"] and len(stated["context"]) == 3
-    poor = explain.explained(
-        invented.withColumn("anomaly_type", F.lit("a 777 b 888 c 999 d 666 e 555 f"))
-        .withColumn("description", F.lit(""))
-    )  # the type's own numbers count as sources, so it stays grounded
-    assert poor.first()["faithfulness"] == 1.0
+    )
+    stated = found.withColumn("context", context).withColumn("explanation", F.lit(FIGURES))
+    checked = explain.checked(stated).first()
+    assert (checked["retried"], len(checked["context"])) == (retried, documents)
+    assert checked["faithfulness"] == score
+
+
+def test_alert_job_writes_the_leading_records_and_refreshes_them(spark, tmp_path):
+    days = [
+        ("quill_77", f"2026-02-{day:02d}", 100.0 + day, 0.5, 0.1, 40.0) for day in range(1, 8)
+    ]
+    gold = spark.createDataFrame(
+        days, "tenant_id string, metric_date string, mrr double, conversion_rate double, "
+        "refund_rate double, checkout_volume double",
+    )
+    gold.write.parquet(str(tmp_path / "gold"))
+
+    def detect(frame):
+        own = record(spark).drop("tenant_id", "metric_date", "anomaly_score")
+        scored = frame.select("tenant_id", "metric_date", (F.col("mrr") / 200).alias("anomaly_score"))
+        return scored.crossJoin(own)  # one row
+
+    log = str(tmp_path / "alerts")
+    run = lambda n, k, found: alerting.log_alerts(
+        spark, str(tmp_path / "gold"), docs_frame(spark), log, n, found, k, 2,
+        detected_at=F.lit(f"run {n}"),
+    )
+    run(0, 3, detect)
+    run(1, 1, detect)
+    run(2, 5, lambda frame: detect(frame).where("false"))  # nothing found: nothing written
+    got = {r["metric_date"]: r for r in alerting.read_log(spark, log).collect()}
+    assert {day: r["detected_at"] for day, r in got.items()} == {
+        "2026-02-07": "run 1", "2026-02-06": "run 0", "2026-02-05": "run 0",
+    }
+    assert all(len(r["sources"]) == 2 and r["status"] == "ready" for r in got.values())
 
 
 def test_status_order(spark):

@@ -11,6 +11,7 @@ from tidemark.operators import grounding, retrieval
 from tidemark.operators.joins import join_small
 from tidemark.session import cut_lineage
 
+
 def with_query(records: DataFrame) -> DataFrame:
     """Adds ``query_id`` (hash of the record key) and the retrieval query."""
     return records.withColumn(
@@ -51,12 +52,8 @@ def with_context(records: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def explained(records: DataFrame) -> DataFrame:
-    """Adds the explanation and its faithfulness after one and, where needed, a wider pass.
-
-    The wider pass reads one more document. A top-k list is a prefix of the top-(k+1) list,
-    so both passes come from one search and the retry is a conditional column.
-    """
+def grounded(records: DataFrame) -> DataFrame:
+    """Adds ``explanation``, stated from the record and the first retrieved document."""
     lead = F.try_element_at("context", F.lit(1))["text"]
     explanation = grounded_explanation(
         F.col("tenant_id"),
@@ -66,6 +63,15 @@ def explained(records: DataFrame) -> DataFrame:
         F.col("top_contributors"),
         lead,
     )
+    return records.withColumn("explanation", explanation)
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """Adds the faithfulness of ``explanation`` after one and, where needed, a wider pass.
+
+    The wider pass reads one more document. A top-k list is a prefix of the top-(k+1) list,
+    so both passes come from one search and the retry is a conditional column.
+    """
 
     def score(documents):
         sources = F.concat(grounding.record_numbers(), grounding.context_numbers(documents))
@@ -73,8 +79,7 @@ def explained(records: DataFrame) -> DataFrame:
 
     first = F.slice("context", 1, F.greatest(F.size("context") - 1, F.lit(0)))
     return (
-        records.withColumn("explanation", explanation)
-        .withColumn("first_faithfulness", score(first))
+        records.withColumn("first_faithfulness", score(first))
         .withColumn("retried", ~grounding.is_faithful(F.col("first_faithfulness")))
         .withColumn(
             "faithfulness",
@@ -86,6 +91,11 @@ def explained(records: DataFrame) -> DataFrame:
     )
 
 
+def explained(records: DataFrame) -> DataFrame:
+    """Explanation and check of records with their ``context``."""
+    return checked(grounded(records))
+
+
 def alerts(explained_records: DataFrame) -> DataFrame:
     """Alert rows with status, text and source ids."""
     status = grounding.alert_status(
