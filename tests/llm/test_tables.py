@@ -160,3 +160,28 @@ def test_pipeline_stages_keep_clean_documents_and_their_columns(spark):
         assert 0 < after.count() <= before.count()
         before = after
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == before.count()
+
+
+def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    def five(text):
+        ws = words(text, True)
+        return frozenset(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))) if ws else frozenset()
+
+    share = lambda cut, a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+    data, between = [], 0
+    for k in range(24):
+        base = [f"d{k}w{j}" for j in range(96)]
+        added = [*base, *(f"a{k}w{j}" for j in range(19 + k % 7))]
+        scattered = [f"s{k}" if j in (20 + k % 9, 60) else w for j, w in enumerate(base)]
+        other = " ".join(added if k % 2 else scattered)
+        between += 0.8 <= share(five, " ".join(base), other) and share(shingles, " ".join(base), other) < 0.85
+        data += [(d, t, "en", "c", 1, "x") for d, t in ((2 * k, " ".join(base)), (2 * k + 1, other))]
+    assert between >= 20
+    random.Random(6).shuffle(data)
+    expected = components({d: {five(t)} for d, t, *_ in data}, 80)
+    kept = corpus_pipeline.deduplicate(spark, documents(spark, data), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(d for d in expected if expected[d] == d)
+    assert len(kept) < len(data) - 20
+    assert (jaccard.SHINGLE, jaccard.PERCENT) == (4, 85)

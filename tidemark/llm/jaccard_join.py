@@ -587,12 +587,12 @@ def jaccard_groups(
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the smallest id; rows without an id stay.
 
     Only the ids to drop meet the texts, in an anti-join that Spark plans by their size. Rows that
     repeat an id are one document: they stay or go together.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"))
+    groups = jaccard_groups(docs.select("doc_id", "text"), shingle, percent)
     dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
