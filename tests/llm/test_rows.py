@@ -308,3 +308,14 @@ def test_ranges_merge_neighbours_only():
     merged = list(warc.ranges(rows, limit=50, gap=20))
     assert [m[:3] for m in merged] == [("a", 0, 15), ("a", 100, 105), ("b", 0, 5), ("b", 6, 96)]
     assert hashlib.sha1(b"").digest() and zlib.crc32(b"") == 0
+
+
+def test_language_model_scores_depend_on_two_preceding_words(spark):
+    """What follows "x b" and "y b" differs only by the word before last."""
+    from tidemark.llm.kneser_ney import score, train
+
+    seen = ["x b left", "y b right"] * 300 + [prose(k, 30) for k in range(40)]
+    model = train(documents(spark, [(k, t, "en", "c", 1, "x") for k, t in enumerate(seen)]))
+    asked = [(k, t, "en", "c", 1, "x") for k, t in enumerate(["x b left", "x b right", "y b left", "y b right"])]
+    found = {r["doc_id"]: r["score"] for r in score(documents(spark, asked), model).collect()}
+    assert found[0] > found[1] + 1 and found[3] > found[2] + 1

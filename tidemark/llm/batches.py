@@ -72,8 +72,17 @@ def annotate(
     return docs.mapInArrow(run, schema)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written once to the shared folder and read back: recovery starts from there."""
-    path = working_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    """``df`` written once to the shared folder and read back: recovery starts from there, so the
+    shuffle files of the write are removed as it ends."""
+    path, conf = working_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

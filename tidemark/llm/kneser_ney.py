@@ -17,8 +17,8 @@ Scoring: a slice of texts looks up its distinct keys in the mapped arrays, level
 
 ending in 1 / (V + 1) for words never seen. A text starts after a begin mark (a context, never
 predicted) and ends with an end token. The model grows with the corpus; nothing of it passes
-through the driver but a row per shard. With the default order of 2 the arrays, their shuffle and
-the tables fit the disk they are given; higher orders work and need more.
+through the driver but a row per shard. Higher orders than the default of 3 work and need
+more disk.
 
 Defined results: a null or empty text is its end token alone; without training texts every token
 is unknown and has probability 1 (V = 0); repeated rows count and are scored each; other columns
@@ -43,7 +43,7 @@ from tidemark.llm.warc import file_system
 from tidemark.llm.words import SPACED_LOWER, Words, mix
 from tidemark.session import working_path
 
-ORDER = 2
+ORDER = 3
 HELD_KEYS = 1 << 22  # n-grams that a task holds before it sends them on
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 ADDED = 0.1  # of the base model
@@ -103,7 +103,7 @@ def mapped(folder: str, name: str, kinds: list[tuple[str, int]]) -> list[np.ndar
 class Level:
     """Shards of one level: files of keys and counts, and of the statistics added later.
 
-    Counts are bytes; those of 255 and more are listed apart with their positions.
+    Counts and statistics are bytes; those of 255 and more are listed apart with their positions.
     """
 
     files: list[str | None]
@@ -116,6 +116,8 @@ class Level:
     total: int = 0
     #: Indices of entries so frequent that, as contexts, they are hot in the level above.
     frequent: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    #: How many of each shard's statistics are 255 and more, by column.
+    large_statistics: list[list[int]] = field(default_factory=list)
 
     def __post_init__(self):
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
@@ -147,37 +149,53 @@ def shard_of(keys: np.ndarray, below: int, hot: np.ndarray, shards: int) -> np.n
     return (mix(base) % np.uint64(shards)).astype(np.int64)
 
 
-class Shard:
-    def __init__(self, folder: str, level: Level, number: int):
-        n, large = level.sizes[number], level.large[number]
-        name = level.files[number]
-        kinds = [("u8", n), ("u1", n), ("u8", large), ("u8", large)]
-        if name is None:
-            self.keys, self.small, self.at, self.values = (np.empty(0, k) for k, _ in kinds)
-        else:
-            self.keys, self.small, self.at, self.values = mapped(folder, name, kinds)
-        self.statistics = None
-        if level.statistics and level.statistics[number] is not None:
-            self.statistics = mapped(
-                folder, level.statistics[number], [("u4", n), ("u8", n), *[("u4", n)] * 3]
-            )
+@dataclass
+class Counts:
+    """Whole numbers as bytes; ``values`` has those of 255 and more, at the positions ``at``."""
+
+    small: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def kinds(n: int, large: int) -> list[tuple[str, int]]:
+        return [("u1", n), ("u8", large), ("u8", large)]
 
-    def counts(self, places: np.ndarray | slice = slice(None)) -> np.ndarray:
-        if isinstance(places, slice):
-            places = np.arange(len(self.keys))[places]
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Counts:
+        large = np.flatnonzero(counts >= 255)
+        small = np.minimum(counts, 255).astype("u1")
+        return cls(small, large.astype("u8"), counts[large].astype("u8"))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.small, self.at, self.values]
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
         made = self.small[places].astype(np.int64)
         if len(self.at):
             large = np.flatnonzero(made == 255)
             made[large] = self.values[np.searchsorted(self.at, places[large].astype(np.uint64))]
         return made
 
+    def all(self) -> np.ndarray:
+        return self[np.arange(len(self.small))]
+
 
-def shard_arrays(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    large = np.flatnonzero(counts >= 255)
-    return [
-        keys.astype("u8"), np.minimum(counts, 255).astype("u1"), large.astype("u8"),
-        counts[large].astype("u8"),
-    ]
+class Shard:
+    def __init__(self, folder: str, level: Level, number: int):
+        n, large = level.sizes[number], level.large[number]
+        name = level.files[number]
+        kinds = [("u8", n), *Counts.kinds(n, large)]
+        if name is None:
+            self.keys, *counts = (np.empty(0, k) for k, _ in kinds)
+        else:
+            self.keys, *counts = mapped(folder, name, kinds)
+        self.counts = Counts(*counts)
+        self.statistics = None
+        if level.statistics and level.statistics[number] is not None:
+            kinds = [k for m in level.large_statistics[number] for k in Counts.kinds(n, m)]
+            held = mapped(folder, level.statistics[number], kinds)
+            self.statistics = [Counts(*held[k : k + 3]) for k in range(0, len(held), 3)]
 
 
 @dataclass
@@ -223,7 +241,7 @@ class Model:
             hit = one.keys[place] == keys[own]
             own, place = own[hit], place[hit]
             index[own] = held.offsets[number] + place
-            count[own] = one.counts(place)
+            count[own] = one.counts[place]
             if statistics and one.statistics is not None:
                 more[:, own] = [column[place] for column in one.statistics]
         return index, count, more
@@ -348,14 +366,14 @@ def count_level(
                 np.concatenate([from_steps(r[2]) for r in rows]),
                 np.concatenate([from_planes(r[3]).astype(np.int64) for r in rows]),
             )
-            arrays = shard_arrays(keys, counts)
-            name = save(folder, arrays)
+            held = Counts.of(counts)
+            name = save(folder, [keys.astype("u8"), *held.arrays()])
             frequent = counts >= max(2, counts.sum() // shards)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int32()),
                     pa.array([name]),
-                    pa.array([[len(keys), len(arrays[2]), int(counts.sum())]], pa.list_(pa.int64())),
+                    pa.array([[len(keys), len(held.at), int(counts.sum())]], pa.list_(pa.int64())),
                     pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())),
                     pa.array([np.flatnonzero(frequent).tolist()], pa.list_(pa.int64())),
                     pa.array([counts[frequent].tolist()], pa.list_(pa.int64())),
@@ -415,7 +433,7 @@ def descend(spark: SparkSession, model: Model, level: int) -> None:
                 if not len(shard.keys):
                     continue
                 keys = np.asarray(shard.keys)
-                counts = shard.counts() if top else shard.statistics[0].astype(np.int64)
+                counts = (shard.counts if top else shard.statistics[0]).all()
                 below = np.uint64(lower.size)
                 rows = []
                 ends, number_of = np.unique(keys % below, return_counts=True)
@@ -446,26 +464,29 @@ def descend(spark: SparkSession, model: Model, level: int) -> None:
                 else:
                     for column, value in zip(columns[1:], values, strict=True):
                         column[at] += from_planes(value).astype(np.int64)
-            kinds = ["u4", "u8", "u4", "u4", "u4"]
-            name = save(folder, [c.astype(k) for c, k in zip(columns, kinds, strict=True)])
+            held = [Counts.of(c) for c in columns]
+            name = save(folder, [a for h in held for a in h.arrays()])
             counted = [int((columns[0] == k).sum()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int32()), pa.array([name]),
                     pa.array([[*counted, int(columns[0].sum())]], pa.list_(pa.int64())),
+                    pa.array([[len(h.at) for h in held]], pa.list_(pa.int64())),
                 ],
-                names=["shard", "file", "counted"],
+                names=["shard", "file", "counted", "large"],
             )
 
     made = spark.range(0, shards, 1, shards).mapInArrow(emit, _PART)
     made = made.repartition(shards, "shard").sortWithinPartitions("shard")
     table = written(
-        made.mapInArrow(merge, "shard int, file string, counted array<long>"), f"lm-below-{level}"
+        made.mapInArrow(merge, "shard int, file string, counted array<long>, large array<long>"),
+        f"lm-below-{level}",
     )
-    lower.statistics = [None] * shards
+    lower.statistics, lower.large_statistics = [None] * shards, [[]] * shards
     counted = np.zeros(5, np.int64)
     for row in table.collect():
         lower.statistics[row["shard"]] = row["file"]
+        lower.large_statistics[row["shard"]] = row["large"]
         counted += row["counted"]
     lower.counts_of_counts, lower.total = counted[:4].tolist(), int(counted[4])
 
