@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import centroids, spf_packing
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.kneser_ney import score, train
 from tidemark.llm.packing import digests, packed, tokenized
+from tidemark.llm.periodic_runs import periodic_runs
 from tidemark.llm.pii import KINDS, count_kind, personal_data, span_text
 from tidemark.llm.pu_quality import pu_quality
 from tidemark.llm.quality_rules import quality_rules
@@ -101,6 +103,56 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_documents(spark, sf_dir))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    listed = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.withColumn("centroid_sha256", F.sha2(listed, 256)).drop("centroid")
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """Of every tenth document, by a hash of its id, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("_g", F.floor(h / 10)).withColumn(
+        "_words", F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    )
+    n = F.size("_words")
+    at = chosen.withColumn("_n", n).withColumn("_a", F.when(n > 0, F.col("_g") % F.greatest(n, F.lit(1))))
+    tail = F.col("_n") - F.col("_a")
+    at = at.withColumn("_p", (1 + F.floor(tail / (3 + F.col("_g") % 8))).cast("int"))
+    period = F.slice("_words", (F.col("_a") + 1).cast("int"), F.col("_p"))
+    times = F.ceil(tail / F.col("_p")).cast("int")
+    words = F.concat(
+        F.slice("_words", F.lit(1), F.col("_a").cast("int")),
+        F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), tail.cast("int")),
+    )
+    text = F.when(F.col("_a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text"))
+    return at.select(*(text.alias(c) if c == "text" else c for c in docs.columns))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeated_tails(_documents(spark, sf_dir)), keep_text=False)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    longest = F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))
+    best = found.withColumn("_best", F.array_min(longest))
+    length, period = -F.col("_best.col1"), F.col("_best.period")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = spf_packing.pack(_documents(spark, sf_dir))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -114,6 +166,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_decontamination,
         op10_jaccard_join,
+        op11_centroid_clustering,
+        op12_periodic_runs,
+        op13_spf_packing,
     )
 }
 
@@ -171,4 +226,46 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_warc": _OP4, "op9_decontamination": _OP9}
+
+
+def _nearest(values: str, found: str) -> str:
+    """Squared distance times 40 plus the number of the nearest centroid, per vector."""
+    distance = "list_dot_product(v, v) - 2 * list_dot_product(v, w) + list_dot_product(w, w)"
+    return f"""{found} AS MATERIALIZED (
+    SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(40 * ({distance})::BIGINT + c) AS best
+    FROM vectors, {values} GROUP BY row_id
+)"""
+
+
+def _round(r: int) -> str:
+    return f"""{_nearest(f"centroids{r}", f"found{r}")}, sums{r} AS (
+    SELECT best % 40 AS c, i, sum(x)::BIGINT AS s, count(*) AS n
+    FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS i FROM found{r}) GROUP BY ALL
+), centroids{r + 1} AS MATERIALIZED (
+    SELECT c, coalesce(moved, w) AS w FROM centroids{r} LEFT JOIN (
+        SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS moved FROM sums{r} GROUP BY c
+    ) USING (c)
+)"""
+
+
+_OP11 = f"""
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w
+    FROM vectors WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), v LIMIT 40
+), {", ".join(map(_round, range(5)))}, {_nearest("centroids5", "last")}
+SELECT vec_id, (best % 40)::INTEGER AS cluster, best // 40 AS distance,
+    sum(best // 40) OVER (PARTITION BY best % 40)::BIGINT AS cluster_inertia,
+    sum(best // 40) OVER ()::BIGINT AS inertia,
+    sha256(array_to_string(list_transform(w, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM last JOIN centroids5 ON c = best % 40
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_warc": _OP4,
+    "op9_decontamination": _OP9,
+    "op11_centroid_clustering": _OP11,
+}
