@@ -14,7 +14,8 @@ and whole documents are cut only for room that no whole piece had filled.
 
 Patterns are joined back to documents by rank: the number of a piece among all of its length is
 its place in its task's output plus the count of the tasks before. No task sees all pieces of a
-length, and rank arithmetic replaces any list of pieces.
+length, and rank arithmetic replaces any list of pieces. Full pieces are sequences by themselves,
+numbered below zero by task and place; they need no rank and are not shuffled.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each; a null
 id is kept; of the input only the id and the text are read; an empty table gives an empty packing.
@@ -216,6 +217,12 @@ _CUT = "array<struct<first: long, length: long, sequence_id: long, offset: long>
 
 def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Final pieces with ``ids``, ``doc_tokens``, ``sequence_id`` and ``offset``."""
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens"]
+    number = -1 - (F.shiftleft(F.col("part").cast("long"), 40) + F.col("place"))
+    full = pieces.where(F.col("length") == limit).select(
+        *columns, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    pieces = pieces.where(F.col("length") < limit)
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("pieces"))
     histogram = {
         row["length"]: row["pieces"]
@@ -241,7 +248,7 @@ def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     parts = ranked.withColumn("_cut", F.explode(cut("length", "_rank")))
     first, length = F.col("_cut.first"), F.col("_cut.length")
-    return parts.select(
+    placed = parts.select(
         "doc_id",
         (F.col("start") + first).alias("start"),
         length.alias("length"),
@@ -250,6 +257,7 @@ def packed(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         "_cut.sequence_id",
         "_cut.offset",
     )
+    return full.unionByName(placed)
 
 
 def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
