@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import sql
 from checks.common import features_of, gold_of, rule_records_of
 from tidemark.functions import scalars, text
-from tidemark.operators import classify, grounding, retrieval
+from tidemark.operators import classify, grounding, inverted_index, retrieval, vector_search
 from tidemark.plans import alerting, detection, explain
 from tidemark.session import working_path
 from tidemark.sources import sinks
@@ -36,7 +36,8 @@ def hash_embed(spark, sf_dir):
 
 def query_doc_pairs(spark, sf_dir):
     """BM25 of every pair that shares a term, summed per document so the check stays small."""
-    pairs = retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    index = inverted_index.build_index(_docs(spark, sf_dir))
+    pairs = inverted_index.every_score(index, _asked(spark, sf_dir))
     return pairs.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.sum("score"), 4).alias("score"),
         _shown(F.max("score"), 6).alias("best"),
@@ -44,9 +45,8 @@ def query_doc_pairs(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir, k):
-    return retrieval.top_k_per_query(
-        retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir)), k
-    )
+    index = inverted_index.build_index(_docs(spark, sf_dir))
+    return inverted_index.search(index, _asked(spark, sf_dir), k).leaders
 
 
 def bm25_rank(spark, sf_dir):
@@ -54,17 +54,12 @@ def bm25_rank(spark, sf_dir):
     return rows.select("query_id", "doc_id", "rank", _shown(F.col("score"), 6).alias("score"))
 
 
-def _vectors(spark, sf_dir):
-    """Documents: all vectors. Queries: the first vector of each label."""
+def dense_rank(spark, sf_dir):
+    """The vectors with an id divisible by 100 ask; all vectors answer."""
     vectors = supplied(spark, sf_dir, "embeddings")
     docs = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
-    return docs, first.select(F.col("label").cast("bigint").alias("query_id"), "vector")
-
-
-def dense_rank(spark, sf_dir):
-    docs, queries = _vectors(spark, sf_dir)
-    rows = retrieval.dense_top_k(docs, queries, 20)
+    queries = docs.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "query_id")
+    rows = vector_search.nearest(docs, queries, 20)
     return rows.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -74,13 +69,11 @@ def top_k_docs(spark, sf_dir):
 
 
 def rrf_fuse(spark, sf_dir):
-    """Fusion of each query's BM25 ranking of the leading 50 with the same set by document id."""
-    from pyspark.sql import Window
-
-    ranked = _sparse(spark, sf_dir, 50).select("query_id", "doc_id", "rank")
-    by_id = Window.partitionBy("query_id").orderBy("doc_id")
-    other = ranked.withColumn("rank", F.row_number().over(by_id) - 1)
-    rows = retrieval.rrf(ranked.unionByName(other))
+    """The leading 50 of the fusion of the dense and the BM25 ranking of all documents."""
+    docs = _docs(spark, sf_dir).withColumn("recency_minutes", F.lit(None).cast("double"))
+    ranks = retrieval.candidate_ranks(docs, _asked(spark, sf_dir), 50)
+    both = ranks.select("query_id", "doc_id", F.explode(F.array("dense_rank", "sparse_rank")).alias("rank"))
+    rows = retrieval.top_k_per_query(retrieval.rrf(both), 50)
     return rows.select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
@@ -375,8 +368,7 @@ ORACLE = {
       WINDOW w AS (PARTITION BY query_id ORDER BY bm25.score DESC, doc_id DESC)
       QUALIFY row_number() OVER w <= 10""",
     "dense_rank": """WITH q AS (
-        SELECT CAST(label AS BIGINT) AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS qv
-        FROM embeddings GROUP BY label),
+        SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
       s AS (SELECT query_id, vec_id AS doc_id,
         round(list_cosine_similarity(qv, embedding::DOUBLE[]), 9) AS full_score
         FROM q, embeddings)
@@ -388,17 +380,12 @@ ORACLE = {
       SELECT query_id, doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS rank FROM bm25
       WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id DESC)
       QUALIFY row_number() OVER w <= 3""",
-    "rrf_fuse": f"""WITH {_ASKING} {sql.BM25},
-      lead50 AS (
-        SELECT query_id, doc_id,
-          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) - 1 AS r1
-        FROM bm25 QUALIFY r1 < 50
-      ),
+    "rrf_fuse": f"""WITH {_ASKING} {sql.HYBRID},
       both_ranks AS (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS r2 FROM lead50
+        SELECT query_id, doc_id, 1.0::DOUBLE / (60 + dr) + 1.0::DOUBLE / (60 + sr) AS fused_score FROM ranks
       )
-      SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 9) AS score
-      FROM both_ranks""",
+      SELECT query_id, doc_id, round(fused_score, 9) AS score FROM both_ranks
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, doc_id DESC) <= 50""",
     "freshness_boost": """
       SELECT d.doc_id, (0.5::DOUBLE + coalesce(quality, 0)) * CASE WHEN quality IS NOT NULL
         AND d.doc_id % 60 <= 15 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS score

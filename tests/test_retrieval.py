@@ -133,21 +133,6 @@ def test_candidate_depth_bound():
         assert 3.0 * 2 / (60 + depth) <= 1 / (60 + k - 1) < 3.0 * 2 / (60 + depth - 1)
 
 
-def test_dense_top_k_matches_numpy(spark):
-    rng = np.random.default_rng(0)
-    vectors = rng.normal(size=(500, 8))
-    docs = spark.createDataFrame(
-        [(i, list(map(float, v))) for i, v in enumerate(vectors)],
-        "doc_id long, vector array<double>",
-    )
-    queries = docs.where("doc_id < 3").withColumnRenamed("doc_id", "query_id")
-    got = retrieval.dense_top_k(docs.repartition(4), queries, 5).toPandas()
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    for q in range(3):
-        expected = np.argsort(-(unit @ unit[q]))[:5]
-        assert list(got[got["query_id"] == q].sort_values("rank")["doc_id"]) == list(expected)
-
-
 RECORD = {
     "tenant_id": "quill_77",
     "metric_date": "2026-02-27",

@@ -19,20 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import exact_round, tokens
-from tidemark.operators.joins import join_small
+from tidemark.operators.inverted_index import BM25_B, BM25_EPSILON, BM25_K1, DIMENSIONS, SCORE_PLACES
 from tidemark.session import cut_lineage
 
-# Embedding width, fusion constant, freshness rule, BM25 parameters.
-DIMENSIONS = 256
+# Fusion constant, freshness rule.
 RRF_K = 60
 FRESH_MINUTES = 15
 FRESH_WEIGHT = 3.0
-BM25_K1 = 1.5
-BM25_B = 0.75
-BM25_EPSILON = 0.25
 
 QUERY_BATCH = 1024  # queries scored per pass over the documents
-SCORE_PLACES = 9  # scores are compared at this precision, so summation order cannot matter
 _BLOCK_CELLS = 4_000_000
 
 
@@ -68,7 +63,7 @@ def top_k_per_query(
     )
 
 
-# --- BM25 as an inverted-index join -------------------------------------------------------
+# --- Corpus statistics --------------------------------------------------------------------
 
 
 def exploded(docs: DataFrame, key: list[str | Column], words: Column) -> DataFrame:
@@ -104,42 +99,6 @@ def term_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     ), corpus
 
 
-def bm25(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """BM25 score of every (query, document) pair that shares a term. Runs the statistics jobs.
-
-    docs(doc_id, text), queries(query_id, text). Postings are cut to the query vocabulary in
-    the scan stage and shuffled by document once, which also serves the sum per pair; query
-    terms, with their multiplicity, are broadcast if their counted size allows it.
-    """
-    idf, corpus = term_statistics(docs, text)
-    asked = (
-        exploded(queries, ["query_id"], tokens(F.col(text)))
-        .groupBy("query_id", "token")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .join(idf, "token")
-        .select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
-    )
-    vocabulary = exploded(queries, [], tokens(F.col(text))).distinct()
-    words = docs.select("doc_id", tokens(F.col(text)).alias("t"))
-    postings = (
-        exploded(words, ["doc_id", F.size("t").alias("dl")], F.col("t"))
-        .join(vocabulary, "token", "left_semi")
-        .repartition("doc_id")
-        .groupBy("doc_id", "token")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        .join(F.broadcast(corpus.select("avgdl")))  # one row
-    )
-    k1, b = F.lit(BM25_K1), F.lit(BM25_B)
-    saturation = (F.col("tf") * (k1 + 1)) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    )
-    return (
-        join_small(postings, asked, ["token"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("weight") * saturation), SCORE_PLACES).alias("score"))
-    )
-
-
 def rrf(rankings: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of rows (query_id, doc_id, rank) from any number of rankings."""
     return rankings.groupBy("query_id", "doc_id").agg(
@@ -318,14 +277,11 @@ def _query_batches(queries: DataFrame, text: str) -> Iterator[list]:
             yield batch
 
 
-def hybrid_search(
-    docs: DataFrame, queries: DataFrame, k: int = 3, text: str = "text"
-) -> DataFrame:
-    """Top k documents per query by freshness-weighted rank fusion of dense and BM25 ranks.
+def candidate_ranks(docs: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """(query_id, doc_id, recency, dense_rank, sparse_rank): the exact 0-based ranks, among all
+    documents, of those that can be among the fused top k (see ``candidate_depth``).
 
-    docs(doc_id, text, recency_minutes), queries(query_id, text) → (query_id, doc_id,
-    retrieval_score, position), exactly as if every document had been ranked. Per batch of
-    queries:
+    docs(doc_id, text, recency_minutes), queries(query_id, text). Per batch of queries:
 
     1. each task scores its documents and keeps its leaders of both rankings, as deep as
        ``candidate_depth`` proves necessary;
@@ -384,83 +340,32 @@ def hybrid_search(
             .groupBy("query_id", "doc_id")
             .agg(F.sum("dense_rank").alias("dense_rank"), F.sum("sparse_rank").alias("sparse_rank"))
         )
-        fused = F.lit(1.0) / (F.lit(RRF_K) + F.col("dense_rank")) + F.lit(1.0) / (
-            F.lit(RRF_K) + F.col("sparse_rank")
-        )
-        scored = ranked.join(
-            chosen.select("query_id", "doc_id", "recency"), ["query_id", "doc_id"]
-        ).withColumn("score", freshness(fused, F.col("recency")))
-        results.append(cut_lineage(top_k_per_query(scored, k)))
+        ages = chosen.select("query_id", "doc_id", "recency")
+        results.append(cut_lineage(ranked.join(ages, ["query_id", "doc_id"])))
     if not results:
-        return spark.createDataFrame(
-            [], "query_id bigint, doc_id bigint, retrieval_score double, position int"
-        )
+        return spark.createDataFrame([], f"{_COUNTS}, recency double")
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
-    return out.select(
+    return out
+
+
+def hybrid_search(
+    docs: DataFrame, queries: DataFrame, k: int = 3, text: str = "text"
+) -> DataFrame:
+    """Top k documents per query by freshness-weighted rank fusion of dense and BM25 ranks.
+
+    docs(doc_id, text, recency_minutes), queries(query_id, text) → (query_id, doc_id,
+    retrieval_score, position), exactly as if every document had been ranked.
+    """
+    ranked = candidate_ranks(docs, queries, k, text)
+    fused = F.lit(1.0) / (F.lit(RRF_K) + F.col("dense_rank")) + F.lit(1.0) / (
+        F.lit(RRF_K) + F.col("sparse_rank")
+    )
+    scored = ranked.withColumn("score", freshness(fused, F.col("recency")))
+    return top_k_per_query(scored, k).select(
         "query_id",
         "doc_id",
         exact_round(F.col("score"), 5).alias("retrieval_score"),
         F.col("rank").alias("position"),
     )
-
-
-_PAIR = "query_id bigint, doc_id bigint, score double"
-
-
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors per query by cosine: docs(doc_id, vector), queries(query_id, vector).
-
-    Queries travel in bounded batches; each task returns at most k documents per query.
-    """
-    spark = docs.sparkSession
-    total = queries.count()
-    parts = max(1, -(-total // (QUERY_BATCH // 2)))
-    blocks = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
-    out = None
-    for part in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        batch = rows.select("query_id", F.col("vector").cast("array<double>")).collect()
-        if not batch:
-            continue
-        shared = spark.sparkContext.broadcast(
-            (
-                np.array([r["query_id"] for r in batch], dtype=np.int64),
-                np.array([r["vector"] for r in batch], dtype=float),
-            )
-        )
-        found = top_k_per_query(blocks.mapInArrow(_nearest(shared, k), _PAIR), k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], _PAIR + ", rank int")
-    return out
-
-
-def _nearest(shared, k: int):
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors = shared.value
-        best_ids = [np.empty(0, np.int64)] * len(query_ids)
-        best_scores = [np.empty(0)] * len(query_ids)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            scores = _cosine(flat.reshape(len(ids), -1), vectors)
-            for q in range(len(query_ids)):
-                all_ids = np.concatenate([best_ids[q], ids])
-                all_scores = np.concatenate([best_scores[q], scores[:, q]])
-                keep = _best(all_scores, all_ids, k)
-                best_ids[q], best_scores[q] = all_ids[keep], all_scores[keep]
-        for q, query_id in enumerate(query_ids):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(best_ids[q]), query_id), pa.int64()),
-                    pa.array(best_ids[q], pa.int64()),
-                    pa.array(best_scores[q], pa.float64()),
-                ],
-                names=["query_id", "doc_id", "score"],
-            )
-
-    return nearest
