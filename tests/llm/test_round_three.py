@@ -12,11 +12,44 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tests.llm.cases import documents, prose, texts, words
-from tidemark.llm import centroids, periodic_runs, queries, spf_packing
+from tests.llm.cases import components, documents, near, prose, texts, words
+from tidemark.llm import centroids, jaccard_join, periodic_runs, queries, spf_packing
 from tidemark.llm.suffix_tree import Extensions
 
 
+# ---- near duplicates of ids with several texts ---------------------------------------------
+
+
+def shingles(text):
+    ws = words(text, True)
+    return frozenset(tuple(ws[k : k + 4]) for k in range(max(1, len(ws) - 3))) if ws else frozenset()
+
+
+def test_links_through_any_text_of_a_repeated_id(spark):
+    first, second = prose(31, 200), prose(32, 200)
+    data = [(1, first), (5, first), (5, second), (9, near(second, 1, 1))]
+    found = jaccard_join.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(1, 1), (5, 1), (9, 1)}
+
+
+@pytest.mark.parametrize("block_rows", [3, 1024])
+def test_groups_with_many_repeated_ids_match_all_pairs(spark, block_rows):
+    rng = random.Random(13)
+    bases = [prose(600 + k, rng.choice([12, 80, 300])) for k in range(14)]
+    data = []
+    for k in range(160):
+        doc = rng.randrange(k) if k and rng.random() < 0.2 else k
+        base = rng.choice(bases)
+        data.append((doc, base if rng.random() < 0.4 else near(base, k, rng.randrange(6))))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sets: dict = {}
+    for doc, text in data:
+        sets.setdefault(doc, set()).add(shingles(text))
+    expected = components(sets, 85)
+    for row in jaccard_join.jaccard_groups(docs, block_rows=block_rows).collect():
+        assert row["component_id"] == expected[row["doc_id"]]
+
+
 # ---- periodic runs ---------------------------------------------------------------------------
 
 

@@ -512,7 +512,7 @@ def multiplied(placed: DataFrame, rule: Rule) -> DataFrame:
 def verified_links(docs: DataFrame, groups: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
     """(a, b) links that connect what the threshold connects within each candidate group.
 
-    ``groups``: (doc_id, root, z, large), one row per document that has a candidate; ``large``
+    ``groups``: (doc_id, root, z, large), one row per size class of a document that has a candidate; ``large``
     marks groups of more rows than a block.
     """
     # the condition holds for all; it lets Spark put a Bloom filter of the ids before the texts'
@@ -563,14 +563,18 @@ def jaccard_groups(
         copies.where("doc_id != least").select("doc_id", "least").distinct(), "jaccard-copies"
     )
     candidates = candidate_links(docs, rule, _partitions(spark))
-    # candidates among representatives only; an id of several texts represents each of them
+    # candidates among representatives only; an id of several texts stays, as no other has them all
+    texts = usable.groupBy("doc_id").agg(F.min("digest").alias("_low"), F.max("digest").alias("_high"))
+    several = texts.where("_low != _high").select("doc_id")
+    replaced = copies.join(several, "doc_id", "left_anti")
     of_class = lambda e, c: e.join(
-        copies.select(F.col("doc_id").alias(c), F.col("least").alias("_to")), c, "left"
+        replaced.select(F.col("doc_id").alias(c), F.col("least").alias("_to")), c, "left"
     ).withColumn(c, F.coalesce("_to", c)).drop("_to")
     candidates = of_class(of_class(candidates, "a"), "b").where("a != b")
     groups = connected(candidates, "jaccard-candidates").select(F.col("node").alias("doc_id"), "root")
-    sized = usable.withColumn("z", _size_class(rule)).groupBy("doc_id").agg(
-        F.max("z").alias("z"), F.max("n_shingles").alias("n_shingles")
+    # a row per size class that an id has texts of; each of its texts is compared in all of them
+    sized = usable.withColumn("z", _size_class(rule)).groupBy("doc_id", "z").agg(
+        F.max("n_shingles").alias("n_shingles")
     )
     groups = groups.join(sized, "doc_id")
     rows = groups.groupBy("root").agg(
