@@ -72,8 +72,13 @@ def churn_rate() -> Column:
 
 def gold(daily: DataFrame) -> DataFrame:
     """The fifteen-column KPI row per tenant and day."""
+    return gold_rows(running_totals(daily))
+
+
+def gold_rows(totals: DataFrame) -> DataFrame:
+    """Gold from the daily sums with their running totals."""
     c = F.col
-    return running_totals(daily).select(
+    return totals.select(
         "tenant_id",
         "metric_date",
         dollars(c("mrr_cents_cum")).alias("mrr"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.schemas import BRONZE_CSV
 from tidemark.session import ensure_utc
+from tidemark.sources import published
 
 
 def supplied(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,10 @@ def read_bronze_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold is stored partitioned by day; order is left to the consumers that need it."""
+    """Gold is stored partitioned by day, in its current version if it has any; order is left to
+    the consumers that need it."""
     ensure_utc(spark)
-    return spark.read.parquet(path)
+    return spark.read.parquet(published.current(spark, path))
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
