@@ -67,14 +67,15 @@ def apply_batch(spark: SparkSession, bronze: DataFrame, root: str, batch_id: int
     same = F.col("fresh.event_id").eqNullSafe(F.col("known.event_id"))
     fresh = typed.alias("fresh").join(known.select("event_id"), same, "left_anti")
     target = f"{root}/events/batch_id={batch_id}"
-    fresh.write.mode("overwrite").partitionBy("event_date").parquet(target)
+    # a day's rows meet before they are written, or every task would write a file per day
+    fresh.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(target)
     increments = kpis.daily_kpi(spark.read.schema(_EVENTS).parquet(target))
 
     daily = _log(spark, f"{root}/daily", _DAILY + _LOGGED)
     daily = daily.where((F.col("batch_id") < batch_id) & _within(LOG_DAY, days)).drop(LOG_DAY)
     daily = newest_wins(daily, ["tenant_id", "metric_date"], "batch_id")
     rows = _added(daily, increments, ["tenant_id", "metric_date"], _SUMS)
-    upsert_batch(rows, f"{root}/daily", batch_id, "metric_date")
+    upsert_batch(rows.hint("rebalance", "metric_date"), f"{root}/daily", batch_id, "metric_date")
 
     months = list({d and d.replace(day=1) for d in days})
     moved = increments.groupBy("tenant_id", F.trunc("metric_date", "month").alias("month")).agg(
@@ -83,7 +84,8 @@ def apply_batch(spark: SparkSession, bronze: DataFrame, root: str, batch_id: int
     held = _log(spark, f"{root}/months", _MONTHS + _LOGGED)
     held = held.where((F.col("batch_id") < batch_id) & _within(LOG_DAY, months)).drop(LOG_DAY)
     held = newest_wins(held, ["tenant_id", "month"], "batch_id")
-    upsert_batch(_added(held, moved, ["tenant_id", "month"], _MOVING), f"{root}/months", batch_id, "month")
+    moved = _added(held, moved, ["tenant_id", "month"], _MOVING).hint("rebalance", "month")
+    upsert_batch(moved, f"{root}/months", batch_id, "month")
 
 
 def _plus(a: Column, b: Column) -> Column:
