@@ -182,11 +182,13 @@ def _cells_to_read(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _scored(index: VectorIndex, pairs: DataFrame, queries: DataFrame, k: int, chunks: int) -> DataFrame:
-    """(query_id, doc_id, score): the k best of every block of given cells."""
+    """(query_id, doc_id, score): the k best of every block of given cells, without those below the
+    query's ``floor`` if it has one."""
     parts = shuffle_parts(queries)
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
     asked = pairs.join(queries, "query_id").repartition(parts, "cell").groupBy("cell", chunk.alias("chunk"))
-    asked = asked.agg(F.collect_list(F.struct("query_id", "vector")).alias("asked")).drop("chunk")
+    floor = F.coalesce("floor", F.lit(-2.0)) if "floor" in queries.columns else F.lit(-2.0)
+    asked = asked.agg(F.collect_list(F.struct("query_id", "vector", floor.alias("floor"))).alias("asked")).drop("chunk")
     met = index.blocks.repartition(parts, "cell").join(asked, "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +196,10 @@ def _scored(index: VectorIndex, pairs: DataFrame, queries: DataFrame, k: int, ch
             for row in range(batch.num_rows):
                 docs = batch.column("docs")[row].values.to_numpy()
                 values = batch.column("values")[row].values.to_numpy(zero_copy_only=False).reshape(len(docs), -1)
-                ids, vectors = batch.column("asked")[row].values.flatten()
+                ids, vectors, floor = batch.column("asked")[row].values.flatten()
                 score = np.round(_cosine(_matrix(vectors, values.shape[1]), values), SCORE_PLACES)
-                query = np.repeat(np.arange(len(ids)), len(docs))
-                doc, score = np.tile(docs, len(ids)), score.ravel()
+                query, doc = np.nonzero(score >= floor.to_numpy()[:, None])
+                score, doc = score[query, doc], docs[doc]
                 kept = first_of_each(query, score, doc, k)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(query[kept])), pa.array(doc[kept]), pa.array(score[kept])],
@@ -234,8 +236,9 @@ def search(index: VectorIndex, queries: DataFrame, k: int) -> Search:
     lead = _cells_to_read(index, asked, k)
     first = cut_lineage(_best(_scored(index, lead, asked, k, chunks), k))
     floors = first.where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("floor"))
-    other = _cells_to_read(index, asked.join(floors, "query_id", "left"), k)
-    rest = _scored(index, other, asked, k, chunks)
+    bounded = asked.join(floors, "query_id", "left")
+    other = _cells_to_read(index, bounded, k)
+    rest = _scored(index, other, bounded, k, chunks)
     return Search(lead.unionByName(other), _best(first.drop("rank").unionByName(rest), k))
 
 
