@@ -235,6 +235,9 @@ def test_language_model_matches_plain_kneser_ney(spark, order):
     adjusted[-1] = grams[-1]
     for n in range(order - 1, 0, -1):
         ends = Counter(g[1:] if n > 1 else g[1] for g in grams[n])
+        # Nothing precedes the begin mark: what starts with it keeps its own count.
+        if n > 1:
+            ends.update({g: c for g, c in grams[n - 1].items() if g[0] == "<s>"})
         adjusted[n - 1] = ends
 
     def discounts(table):
@@ -319,3 +322,21 @@ def test_language_model_scores_depend_on_two_preceding_words(spark):
     asked = [(k, t, "en", "c", 1, "x") for k, t in enumerate(["x b left", "x b right", "y b left", "y b right"])]
     found = {r["doc_id"]: r["score"] for r in score(documents(spark, asked), model).collect()}
     assert found[0] > found[1] + 1 and found[3] > found[2] + 1
+
+
+def test_first_word_is_conditioned_on_the_begin_mark(spark):
+    """Half of the texts are "z q", all start with z: the first word is sure, the second even odds."""
+    from tidemark.llm.kneser_ney import score, train
+
+    seen = ["z q"] * 300 + [f"z r{k % 3}" for k in range(300)]
+    rows = lambda texts: documents(spark, [(k, t, "en", "c", 1, "x") for k, t in enumerate(texts)])
+    for order in (2, 3):
+        found = {r["text"]: r["score"] for r in score(rows(["z q", "q z"]), train(rows(seen), order, 3)).collect()}
+        assert found["z q"] == pytest.approx(math.log10(0.5), abs=0.02)
+        assert found["q z"] < -3
+
+
+def test_language_model_refuses_keys_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "LARGEST_BELOW", 3)
+    with pytest.raises(ValueError, match="do not fit"):
+        kneser_ney.train(documents(spark).select("text"), order=2, shards=2)

@@ -2,13 +2,15 @@
 
 Level 1 holds the hashes of the training words, level k the n-grams of k words: the key of an
 n-gram is (index of its first k - 1 words in level k - 1, index of its last k - 1 words) as one
-number, so keys are exact and every level is a set of sorted arrays. A level is cut into shards by
-hash; n-grams of one context share a shard unless the context is so frequent that it is split.
+number of 64 bits, so keys are exact and every level is a set of sorted arrays. A level on more than
+2^32 distinct n-grams of the level below would not fit that number: training raises there instead
+of merging n-grams. A level is cut into shards by hash; n-grams of one context share a shard unless the context is so frequent that it is split.
 
 Counting: tasks count their own n-grams in sorted arrays and send one compressed array per shard;
 the shard's task merges them and writes its arrays to the shared folder. Going down from the
 longest n-grams, each shard then sends what the level below needs: in how many n-grams a shorter
-one is the end (its Kneser-Ney count), and totals and numbers of counts 1, 2 and 3 or more of each
+one is the end (its Kneser-Ney count; an n-gram that starts with the begin mark ends none and keeps
+its own count), and totals and numbers of counts 1, 2 and 3 or more of each
 context. Tables list the files of the tasks that succeeded, so a retried task is harmless.
 
 Scoring: a slice of texts looks up its distinct keys in the mapped arrays, level by level.
@@ -44,6 +46,7 @@ from tidemark.llm.words import SPACED_LOWER, Words, mix
 from tidemark.session import working_path
 
 ORDER = 3
+LARGEST_BELOW = 1 << 32  # distinct n-grams of a level whose pairs still fit 64 bits
 HELD_KEYS = 1 << 22  # n-grams that a task holds before it sends them on
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 ADDED = 0.1  # of the base model
@@ -322,6 +325,8 @@ def count_level(
 ) -> Level:
     """Counts the n-grams of one level and writes its shards."""
     below = model.levels[-1].size if level > 1 else 0
+    if below > LARGEST_BELOW:
+        raise ValueError(f"{below} distinct n-grams of {level - 1} words: pairs do not fit 64 bits")
     known_model = texts.sparkSession.sparkContext.broadcast(model)
     folder = model.folder
 
@@ -464,14 +469,18 @@ def descend(spark: SparkSession, model: Model, level: int) -> None:
                 else:
                     for column, value in zip(columns[1:], values, strict=True):
                         column[at] += from_planes(value).astype(np.int64)
-            held = [Counts.of(c) for c in columns]
-            name = save(folder, [a for h in held for a in h.arrays()])
+            if level > 2:
+                # Only what starts with the begin mark has nothing before it.
+                first = columns[0] == 0
+                columns[0][first] = held.value.shard(level - 1, number).counts[np.flatnonzero(first)]
+            counts = [Counts.of(c) for c in columns]
+            name = save(folder, [a for c in counts for a in c.arrays()])
             counted = [int((columns[0] == k).sum()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int32()), pa.array([name]),
                     pa.array([[*counted, int(columns[0].sum())]], pa.list_(pa.int64())),
-                    pa.array([[len(h.at) for h in held]], pa.list_(pa.int64())),
+                    pa.array([[len(c.at) for c in counts]], pa.list_(pa.int64())),
                 ],
                 names=["shard", "file", "counted", "large"],
             )
