@@ -161,6 +161,61 @@ def test_confident_contexts_add_spans_and_base_spans_stay(spark):
     assert masked[7] == "pay with card number [CARD] soon w7" and masked[None] is None
 
 
+def test_secrets_are_found_and_lend_their_contexts(spark):
+    """Secrets after an assignment teach the words around them; what those words lead to becomes
+    known and teaches the next context, which no fixed match has."""
+    secret = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    data = [(k, f'they set token = "{secret(k)}" for service w{k}') for k in range(12)]
+    data += [(50, f'they set token = "{secret(0)}')]
+    data += [(60 + k, f"x{k} the bearer grant {secret(k)} q{k}") for k in range(12)]  # bare, known values
+    data += [(80 + k, f"y{k} the bearer grant {secret(100 + k)} r{k}") for k in range(2)]  # one context on
+    data += [(90, f"nothing before {secret(7)} comes"), (91, f"commit {secret(300)} of a log"), (92, "token = short1a2b3")]
+    data += [(93, "token = " + "a1" * 40_000), (94, None), (95, "")]
+    docs = documents(spark, [(k, t, "en", "c", 1, "x") for k, t in data])
+    found = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    held = {k for k, r in found.items() if any(s["kind"] == "secret" for s in r["spans"])}
+    assert held == {*range(12), 50, *range(60, 72), 80, 81, 93}
+    assert not any(s["kind"] == "secret" for r in found.values() for s in r["base_spans"])
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert masked[3] == 'they set token = "[SECRET]" for service w3'
+    assert masked[80] == "y0 the bearer grant [SECRET] r0" and masked[91].endswith("of a log")
+
+
+def sure_patterns(rows, least):
+    """Rounds over all edges with plain sets."""
+    edges = {(k, p, v) for k, v, _, ps in rows for p in ps}
+    seed_edges = {(k, p, v) for k, v, s, ps in rows if s for p in ps}
+    known = {(k, v) for k, v, s, _ in rows if s}
+    while True:
+        sure = set()
+        for kind, pattern in {e[:2] for e in edges}:
+            values = {v for k, p, v in edges if (k, p) == (kind, pattern)}
+            fixed_here = {v for v in values if (kind, pattern, v) in seed_edges}
+            good = fixed_here | {v for v in values if (kind, v) in known}
+            if 1 < len(values) and fixed_here != values and len(good) >= least * len(values):
+                sure.add((kind, pattern))
+        grown = known | {(k, v) for k, p, v in edges - seed_edges if (k, p) in sure}
+        if grown == known:
+            return sure
+        known = grown
+
+
+def test_bootstrapping_matches_plain_rounds(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = [
+            (rng.choice("ab"), rng.randrange(30), rng.random() < 0.6, [f"p{rng.randrange(25)}" for _ in range(2)])
+            for _ in range(90)
+        ]
+        frame = spark.createDataFrame(rows, "kind string, value long, seed boolean, patterns array<string>")
+        names = spark.createDataFrame([(f"p{k}",) for k in range(25)], "name string").select(
+            "name", F.xxhash64("name").alias("pattern")
+        )
+        got = pii.bootstrap(frame).join(names, "pattern").select("kind", "name")
+        assert {tuple(r) for r in got.collect()} == sure_patterns(rows, pii.MIN_CONFIDENCE)
+    assert pii.bootstrap(frame.where("false")).count() == 0
+
+
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

@@ -1,20 +1,23 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-Matches of the fixed patterns are seeds. Every seed, and every string that looks like one of the
-four kinds but fails its fixed pattern (a candidate), yields lexical patterns: the two words to
-its left, the two to its right, one on each side. Patterns and instances form a graph that Spark
-scores in rounds:
+Matches of the fixed patterns are seeds, and so are secrets: strings of letters and digits that a
+word like ``token`` or ``password`` is set to. Every seed, and every other string with the shape of
+some kind (a candidate), yields lexical patterns: the two words to its left, the two to its right,
+one on each side. Patterns and values form a graph, with one edge however often it was seen, that
+Spark scores in rounds:
 
-    pattern  = mean score of its instances (seeds 1, candidates 0 at first)
-    candidate = 1 - product over its patterns of (1 - pattern)
+    pattern = share of its values that are known
+    value   = score of its best pattern, 1 if it is known
 
-where a pattern needs ``MIN_SEEDS`` different seed values. After ``ROUNDS`` rounds the candidates
-next to a pattern of at least ``MIN_CONFIDENCE`` are reported with the kind of that pattern.
-Seeds always stay.
+Known are at first the seeds. A candidate that reaches ``MIN_CONFIDENCE`` becomes known, so that it
+is a seed of the next round and may lift patterns which no fixed match has; rounds end when none is
+added. As a candidate counts against its own pattern, four known values must speak for it at 0.8,
+and four more for every other open candidate there. Candidates next to a pattern of that score are
+reported with its kind, wherever they stand in such a context; base spans always stay.
 
 All passes but the first work on the narrow table of mentions. Scores are aggregates with
-map-side sums, so a pattern or value that holds a third of all mentions does not matter. New
-spans meet their documents in a join that Spark plans by measured size.
+map-side sums; joins spread a pattern or value that holds a third of all mentions over ``SALTS``
+keys. New spans meet their documents in a join that Spark plans by measured size.
 
 Defined results: a null or empty text has no spans; repeated rows get the same spans; an id may
 be null or occur with several texts (mentions are keyed by id and text hash); columns named like
@@ -24,6 +27,7 @@ a result are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import xxhash
@@ -41,9 +45,9 @@ from pyspark.sql.types import (
 from tidemark.llm.batches import annotate, bounded_batches, slices, texts_of, written
 
 KINDS = ["email", "ip", "card", "phone"]
-MIN_SEEDS = 5
-MIN_CONFIDENCE = 0.9
-ROUNDS = 3
+SECRET = "secret"
+MIN_CONFIDENCE = 0.8
+SALTS = 16
 
 #: Fixed patterns. Possessive forms match the same strings without trying shorter ones.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,7 +56,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])++")
-_SPACES = " \t\n\v\f\r"
+#: A secret and the words that it is set to.
+_ASSIGNED = re.compile(
+    r"(?i:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)[\"']?[ \t]{0,4}[:=]"
+    r"[ \t]{0,4}[\"']?([A-Za-z0-9_+/-]{12,}+)"
+)
+_OPAQUE = re.compile(r"[A-Za-z0-9_+/-]++")
+LEAST_OPAQUE = 16  # characters of a string without meaning, which may be a secret
 
 
 def luhn(digits: str) -> bool:
@@ -104,8 +114,40 @@ def fixed_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _mixed(text: str) -> bool:
+    """Letters and digits alternate, as they do not in words, numbers, dates and names."""
+    return len(re.findall("[A-Za-z]+[0-9]", text)) >= 3
+
+
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    return [(SECRET, *m.span(1)) for m in _ASSIGNED.finditer(text) if _mixed(m.group(1))]
+
+
+def outside(
+    spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]
+) -> list[tuple[str, int, int]]:
+    """The spans that touch none of ``taken``."""
+    starts, reach, last = [], [], 0
+    for a, b in sorted((a, b) for _, a, b in taken):
+        last = max(last, b)
+        starts.append(a)
+        reach.append(last)
+    free = []
+    for kind, a, b in spans:
+        before = bisect_right(starts, b - 1)
+        if not before or reach[before - 1] <= a:
+            free.append((kind, a, b))
+    return free
+
+
 def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Strings shaped like a kind that touch no fixed match, once per kind they may be."""
+    """Strings shaped like a kind that touch no seed, once per kind they may be."""
+    opaque = [
+        (SECRET, *m.span())
+        for m in _OPAQUE.finditer(text)
+        if m.end() - m.start() >= LEAST_OPAQUE and _mixed(m.group())
+    ]
+    opaque = outside(opaque, taken)
     spans = []
     at = text.find("@")
     while at != -1:
@@ -126,13 +168,7 @@ def candidate_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[
             spans.append(("card", *match.span()))
         if 7 <= digits <= 15:
             spans.append(("phone", *match.span()))
-    if not spans:
-        return []
-    free, edges = [], sorted((a, b) for _, a, b in taken)
-    for kind, a, b in spans:
-        if not any(a < d and c < b for c, d in edges):
-            free.append((kind, a, b))
-    return free
+    return [*outside(spans, [*taken, *opaque]), *opaque]
 
 
 def _words_before(text: str, at: int) -> list[str]:
@@ -179,7 +215,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                 ids, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
                 made = []
                 for k, text in enumerate(texts_of(batch, "text")):
-                    seeds = fixed_spans(text)
+                    seeds = [*fixed_spans(text), *secret_spans(text)]
                     others = candidate_spans(text, seeds)
                     for seed, spans in ((True, seeds), (False, others)):
                         for kind, a, b in spans:
@@ -200,58 +236,76 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def score_patterns(
-    found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
-) -> DataFrame:
-    """(kind, pattern, confidence) after the rounds, of patterns with enough seeds.
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.hash(by), F.lit(SALTS)))
+
+
+def _for_each_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _hashed_patterns():
+    return F.explode(F.transform("patterns", lambda p: F.xxhash64(p))).alias("pattern")
+
 
-    The graph is what matters, not how often an edge was seen: it has one edge per pattern and
-    value, and a pattern without enough seeds never scores, so it is left out first.
+def bootstrap(found: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(kind, pattern) of the patterns that reach ``min_confidence`` when no round adds a value.
+
+    Left out at first is what no round can change: patterns of one value, which would have to
+    vouch for itself, and patterns of seeds alone.
     """
-    edges = found.select("kind", "value", "seed", F.explode("patterns").alias("pattern"))
+    edges = found.select("kind", "value", "seed", _hashed_patterns())
     edges = edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
-    supported = edges.groupBy("kind", "pattern").agg(
+    edges = written(edges, "pii-edges")
+    patterns = edges.groupBy("kind", "pattern").agg(
         F.count_if("seed").alias("seeds"), F.count("*").alias("values")
     )
-    supported = written(supported.where(F.col("seeds") >= min_seeds), "pii-support")
-    open_edges = written(
-        edges.where(~F.col("seed")).join(supported.select("kind", "pattern"), ["kind", "pattern"]),
-        "pii-edges",
+    patterns = written(patterns.where("values > 1 AND seeds < values"), "pii-patterns")
+    seeds = written(found.where("seed").select("kind", "value").distinct(), "pii-seeds")
+    on_pattern = ["kind", "pattern", "salt"]
+    still_open = written(
+        _salted(edges.where(~F.col("seed")), "value")
+        .join(_for_each_salt(patterns.select("kind", "pattern")), on_pattern)
+        .select("kind", "pattern", "value"),
+        "pii-open",
     )
-    patterns = supported.withColumn("confidence", F.col("seeds") / F.col("values"))
-    for _ in range(rounds - 1):
-        doubt = F.least(F.log1p(-F.col("confidence") * 0.999999), F.lit(0.0))
-        candidates = (
-            open_edges.join(patterns.select("kind", "pattern", "confidence"), ["kind", "pattern"])
-            .groupBy("kind", "value")
-            .agg((1 - F.exp(F.sum(doubt))).alias("score"))
-        )
-        gained = (
-            open_edges.join(candidates, ["kind", "value"])
-            .groupBy("kind", "pattern")
-            .agg(F.sum("score").alias("gained"))
+    known, added, number = seeds, seeds, patterns.select("kind", "pattern", "seeds", "values")
+    while True:
+        # Open edges of what was just added: its patterns gain a known value each.
+        touched = _salted(still_open, "pattern").join(
+            _for_each_salt(added), ["kind", "value", "salt"]
         )
-        mean = (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("values")
-        patterns = written(
-            supported.join(gained, ["kind", "pattern"], "left").select(
-                "kind", "pattern", "seeds", "values", mean.alias("confidence")
+        gains = touched.groupBy("kind", "pattern").agg(F.count("*").alias("gained"))
+        number = written(
+            number.join(gains, ["kind", "pattern"], "left").select(
+                "kind", "pattern", (F.col("seeds") + F.coalesce("gained", F.lit(0))).alias("seeds"), "values"
             ),
-            "pii-patterns",
+            "pii-scores",
         )
-    return patterns
-
+        sure = number.where(F.col("seeds") >= F.lit(min_confidence) * F.col("values"))
+        reached = (
+            _salted(still_open, "value")
+            .join(_for_each_salt(sure.select("kind", "pattern")), on_pattern)
+            .select("kind", "value")
+            .distinct()
+        )
+        added = written(reached.join(known, ["kind", "value"], "left_anti"), "pii-added")
+        if added.isEmpty():
+            return sure.select("kind", "pattern")
+        known = written(known.unionByName(added), "pii-known")
 
-def discovered(found: DataFrame, patterns: DataFrame, min_confidence=MIN_CONFIDENCE) -> DataFrame:
-    """(doc_id, text_hash, _added_spans): spans of candidates next to a confident pattern.
 
-    Confidence counts seeds only in its first round; a candidate never vouches for its own
-    pattern, as a pattern must reach the mark by its seeds' share and others' scores.
-    """
-    sure = patterns.where(F.col("confidence") >= min_confidence).select("kind", "pattern")
+def discovered(found: DataFrame, sure: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, _added_spans): secrets, and candidates next to a ``sure`` pattern."""
+    others = found.where(~F.col("seed")).select(
+        "doc_id", "text_hash", "start", "end", "kind", _hashed_patterns()
+    )
+    others = _salted(others, "text_hash").join(_for_each_salt(sure), ["kind", "pattern", "salt"])
+    names = ["doc_id", "text_hash", "start", "end", "kind"]
+    secrets = found.where(F.col("seed") & (F.col("kind") == SECRET))
     spans = (
-        found.where(~F.col("seed"))
-        .withColumn("pattern", F.explode("patterns"))
-        .join(sure, ["kind", "pattern"])
+        secrets.select(*names)
+        .unionByName(others.select(*names))
         .groupBy("doc_id", "text_hash", "start", "end")
         .agg(F.min("kind").alias("kind"))
     )
@@ -265,9 +319,10 @@ def _fixed_column(texts):
 
 
 def personal_data(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``base_spans`` (fixed patterns) and ``spans`` (these and the discovered)."""
+    """``docs`` with ``base_spans`` (fixed patterns) and ``spans`` (these, secrets and the
+    discovered)."""
     found = written(mentions(docs.select("doc_id", "text")), "pii-mentions")
-    added = discovered(found, score_patterns(found))
+    added = discovered(found, bootstrap(found))
     span = ArrayType(SPAN)
     marked = annotate(
         docs.withColumn("_text_hash", F.xxhash64("text")),
@@ -275,7 +330,7 @@ def personal_data(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         [StructField("base_spans", span)],
         keep_text=keep_text,
     )
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, [*KINDS, SECRET]))
     place = lambda x: F.struct(F.array_position(kinds, x["kind"]), x["start"])
     ordered = F.array_sort(
         F.concat("base_spans", F.coalesce("_added_spans", F.array().cast(span))),
