@@ -100,6 +100,59 @@ def test_toxicity_chain_flags_terms(spark):
     assert toxicity(documents(spark), labels.where("false")).count() == documents(spark).count()
 
 
+def test_toxicity_learns_from_few_labels_and_from_beginnings(spark):
+    """40 labels; the held-out texts hold words with a beginning, none of which was labelled."""
+    from tidemark.llm.toxicity import toxicity
+
+    rng, data = random.Random(9), []
+    for k in range(120):
+        parts = prose(3000 + k, 60).split(" ")
+        if k % 4 == 0:
+            for j in range(3):
+                parts.insert(rng.randrange(len(parts)), f"vilézo{'abcdefghij'[(k + j) % 10]}{k}")
+        data.append((k, " ".join(parts), "en", "c", 1, "x"))
+    labels = spark.createDataFrame(
+        [(k, 1, int(k % 4 == 0)) for k in range(40)], "doc_id long, quality int, toxic int"
+    )
+    found = toxicity(documents(spark, data), labels).where("doc_id >= 40").collect()
+    assert sum(r["is_toxic"] for r in found if r["doc_id"] % 4 == 0) >= 18
+    assert not any(r["is_toxic"] for r in found if r["doc_id"] % 4)
+
+
+def test_chain_on_a_small_matrix_matches_plain_regressions():
+    """Each link by plain gradient descent on dense rows, earlier links predicted out of fold."""
+    import numpy as np
+
+    from tidemark.llm import toxicity as own
+    from tidemark.llm.linear import Matrix
+
+    rng = np.random.default_rng(2)
+    dense = (rng.random((60, 5)) < 0.4).astype(float)
+    first = ((dense[:, 0] + rng.random(60) * 0.9) > 0.8).astype(int)
+    second = ((first + dense[:, 1] + rng.random(60)) > 1.4).astype(int)
+    rows = [(np.flatnonzero(r).astype(np.int32), np.ones(int(r.sum()), np.float32)) for r in dense]
+
+    def fit(x, y):
+        w, b = np.zeros(x.shape[1]), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        for _ in range(60_000):
+            r = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+            w, b = w - 0.5 * (x.T @ r + own.PENALTY * w), b - 0.5 * r.sum()
+        return w, b
+
+    chain = own.fit_chain(Matrix.of(rows), np.column_stack([first, second]), ["first", "second"])
+    part, unseen = np.arange(60) % own.FOLDS, np.zeros(60)
+    for fold in range(own.FOLDS):
+        w, b = fit(dense[part != fold], first[part != fold])
+        unseen[part == fold] = 1 / (1 + np.exp(-(dense[part == fold] @ w + b)))
+    w, b = fit(dense, first)
+    assert np.allclose(chain.weights[0, :5], w, atol=0.15) and abs(chain.offsets[0] - b) < 0.15
+    wide = np.column_stack([dense, unseen])
+    w, b = fit(wide, second)
+    expected = wide @ w + b
+    got = dense @ chain.weights[1, :5] + chain.links[1][0] * unseen + chain.offsets[1]
+    assert np.allclose(1 / (1 + np.exp(-got)), 1 / (1 + np.exp(-expected)), atol=0.03)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -1,11 +1,13 @@
 """Toxicity categories by a classifier chain.
 
 Categories are predicted one after the other. Each link is a logistic regression on the
-distinct words of a text and on the probabilities of all earlier categories; in training those
-are out-of-fold predictions, so that a link learns how far the earlier ones can be trusted. The
-last link is the labelled category ``toxic`` itself. The sample is bounded by ``TRAINING_ROWS``
-(the first by hash of the id) and words in fewer than ``MIN_DOCUMENTS`` sampled documents, or
-with a chi-squared statistic below ``MIN_STATISTIC``, have no weight; every whole text is scored.
+distinct words and word beginnings of a text and on the probabilities of all earlier categories;
+in training those are out-of-fold predictions, so that a link learns how far the earlier ones can
+be trusted. The last link is the labelled category ``toxic`` itself. The sample is bounded by
+``TRAINING_ROWS`` (the first by hash of the id). Features have weight if their rows are positive
+more often than chance explains among so many features, which is no fixed count of rows: a few
+labels teach what nearly all positive rows share, many labels rarer features too. Every whole text
+is scored.
 
 Defined results: a null or empty text has no words, its probabilities are those of the offsets;
 without labels, or with one class, a link gives the smoothed share; null labels are ignored;
@@ -24,13 +26,12 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField
 from tidemark.llm.batches import annotate
 from tidemark.llm.linear import DIMENSIONS, Matrix, fit_logistic, fold_of, sample_rows, sigmoid
 from tidemark.llm.training import sparse_sample
-from tidemark.llm.words import ALPHANUMERIC, Words
+from tidemark.llm.words import ALPHANUMERIC, Words, mix
 
 TRAINING_ROWS = 8192
-MIN_DOCUMENTS = 12
 FOLDS = 3
-MIN_STATISTIC = 30.0
 PENALTY = 2e-5
+BEGINNINGS = (5, 6, 7)  # bytes of a longer word
 THRESHOLD = 0.5
 #: Categories of a toxic document by the terms that it holds, in the order of the chain.
 CATEGORY_TERMS = {
@@ -39,12 +40,28 @@ CATEGORY_TERMS = {
 }
 
 
-def present_features(texts, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the distinct hashed words, only of ``known`` features if given. Words
-    are runs of ASCII letters, digits and characters beyond ASCII, without regard to case."""
+def word_features(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of all words and of the beginnings of longer ones, hashed. Words are runs
+    of ASCII letters, digits and characters beyond ASCII, without regard to case."""
     words = Words(texts, ALPHANUMERIC)
-    owner = words.owner()
-    feature = (words.hashes % np.uint64(DIMENSIONS)).astype(np.int64)
+    data, size = np.frombuffer(words.data, np.uint8), words.ends - words.starts
+    owner, at = words.owner(), np.arange(len(size))
+    owners, hashes = [owner], [words.hashes]
+    begun = np.zeros(len(size), np.uint64)
+    for length in range(1, max(BEGINNINGS) + 1):
+        longer = size[at] > length
+        at = at[longer]
+        begun = mix(begun[longer] + ALPHANUMERIC.codes[data[words.starts[at] + length - 1]])
+        if length in BEGINNINGS:
+            owners.append(owner[at])
+            hashes.append(begun)
+    feature = (np.concatenate(hashes) % np.uint64(DIMENSIONS)).astype(np.int64)
+    return np.concatenate(owners), feature
+
+
+def present_features(texts, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of the distinct features, only of ``known`` ones if given."""
+    owner, feature = word_features(texts)
     if known is not None:
         keep = known[feature]
         owner, feature = owner[keep], feature[keep]
@@ -100,23 +117,18 @@ def columns_of(matrix: Matrix, chosen: np.ndarray) -> Matrix:
     )
 
 
-def frequent(matrix: Matrix, least: int) -> Matrix:
-    """Only the columns with at least ``least`` entries."""
-    return columns_of(matrix, np.bincount(matrix.columns, minlength=len(matrix.features)) >= least)
-
-
-def informative(matrix: Matrix, targets: np.ndarray, least: float) -> Matrix:
-    """Only the columns whose documents differ from the rest in the share of some target, by a
-    chi-squared statistic of at least ``least``."""
-    n = max(1, matrix.height)
-    size = np.maximum(np.bincount(matrix.columns, minlength=len(matrix.features)), 1)
-    best = np.zeros(len(matrix.features))
-    for y in targets.T:
-        share = y.mean() if len(y) else 0.0
-        hits = np.bincount(matrix.columns, y[matrix.rows], minlength=len(matrix.features))
-        spread = size * max(share * (1 - share), 1e-9) * np.maximum(1 - size / n, 1e-9)
-        best = np.maximum(best, (hits - size * share) ** 2 / spread)
-    return columns_of(matrix, best >= least)
+def informative(matrix: Matrix, targets: np.ndarray) -> Matrix:
+    """Only the columns that speak for some target: the log likelihood ratio of their positive
+    rows against chance exceeds the logarithm of the number of columns, so that among all of them
+    about one would get there by chance."""
+    columns = len(matrix.features)
+    size = np.bincount(matrix.columns, minlength=columns)
+    chosen = np.zeros(columns, bool)
+    for y in targets.T if columns else ():
+        hits = np.bincount(matrix.columns, y[matrix.rows], minlength=columns)
+        gain = hits * np.log(np.maximum(hits, 1e-9) / np.maximum(size * y.mean(), 1e-9))
+        chosen |= gain > np.log(columns)
+    return columns_of(matrix, chosen)
 
 
 def fit_chain(matrix: Matrix, targets: np.ndarray, categories: list[str]) -> Chain:
@@ -167,8 +179,7 @@ def train_chain(
     chosen = category_targets(docs, sample_rows(usable, "doc_id", rows), terms)
     categories = [*terms, "toxic"]
     matrix, targets = sparse_sample(docs, chosen, categories, features=presence_rows)
-    matrix = informative(frequent(matrix, MIN_DOCUMENTS), targets, MIN_STATISTIC)
-    return fit_chain(matrix, targets, categories)
+    return fit_chain(informative(matrix, targets), targets, categories)
 
 
 def toxicity(
