@@ -71,6 +71,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return named.getFileSystem(sc._jsc.hadoopConfiguration()).exists(named)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    sc = spark.sparkContext
+    named = sc._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(sc._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(named)] if system.exists(named) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder and what is in it."""
+    sc = spark.sparkContext
+    named = sc._jvm.org.apache.hadoop.fs.Path(path)
+    named.getFileSystem(sc._jsc.hadoopConfiguration()).delete(named, True)
+
+
 def _package_bytes() -> bytes:
     folder = os.path.dirname(os.path.abspath(__file__))
     held = io.BytesIO()

@@ -17,6 +17,7 @@ from tidemark.functions.scalars import payload_struct
 from tidemark.operators.kpis import live_contributions, live_kpis
 from tidemark.session import ROCKSDB_PROVIDER, path_exists
 from tidemark.sources.sinks import newest_wins, upsert_batch
+from tidemark.streaming import id_log
 
 AVAILABLE = {"availableNow": True}  # the trigger of a run that ends; a lasting one has a period
 
@@ -36,26 +37,22 @@ def typed_events(bronze: DataFrame) -> DataFrame:
 def keep_fresh(batch: DataFrame, table: str, batch_id: int) -> DataFrame:
     """Adds the events of a micro-batch that ``table`` does not hold yet, and returns them.
 
-    The table is its own log of ids, by batch and event date. A copy has the date of its first
-    delivery, so only the dates of the batch are read, however late it comes; nothing expires,
+    The ids beside the table (``id_log``) say what it holds. A copy has the date of its first
+    delivery, so only the dates of the batch are asked, however late it comes; nothing expires,
     and an event dated in the future pushes nothing out. A batch that was written before a
-    failure is not written again.
+    failure is not written again; its ids are added after its rows, and again if that failed.
     """
     spark = batch.sparkSession
-    path = f"{table}/batch_id={batch_id}"
+    path, log = f"{table}/batch_id={batch_id}", f"{table}.ids"
     if not path_exists(spark, f"{path}/_SUCCESS"):
+        known = id_log.held_ids(batch, log)
         rows = batch.dropDuplicates(["event_id"])
-        if path_exists(spark, table):
-            # one row per calendar day of the micro-batch
-            dates = [r[0] for r in batch.select("event_date").distinct().collect()]
-            known = spark.read.schema(f"{_KEPT}, batch_id int").parquet(table)
-            known = known.where(
-                (F.col("batch_id") != batch_id)
-                & (F.col("event_date").isin([d for d in dates if d]) | F.col("event_date").isNull())
-            )
-            rows = rows.join(known.select("event_id"), "event_id", "left_anti")
+        if known is not None:
+            rows = rows.join(known, "event_id", "left_anti")
         rows.write.mode("overwrite").partitionBy("event_date").parquet(path)
-    return spark.read.schema(_KEPT).parquet(path)
+    fresh = spark.read.schema(_KEPT).parquet(path)
+    id_log.add(fresh, log, batch_id)
+    return fresh
 
 
 _KEPT = (
