@@ -325,3 +325,49 @@ def test_empty_tables_and_texts_pack(spark):
     assert spf_packing.padding(spf_packing.pack(documents(spark, []))).first()["padded"] == 0
     rows = spf_packing.pack(documents(spark, [(None, None, "en", "c", 1, "x"), (1, "", "en", "c", 1, "x")])).collect()
     assert sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in rows) == [(0, bytes(4)), (1, bytes(4))]
+
+
+# ---- candidates of the Jaccard join -----------------------------------------------------------
+
+
+def test_linking_pairs_agree_on_a_block_with_near_parities():
+    rng = random.Random(9)
+    rule = jaccard_join.Rule(5, 80)
+    tested = 0
+    for _ in range(400):
+        size = rng.choice([1, 3, 8, 30, 100, 700])
+        own = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+        drop, add = rng.randrange(1 + size // 5), rng.randrange(1 + size // 5)
+        fresh = np.array([rng.getrandbits(64) for _ in range(add)], np.uint64)
+        other = np.unique(np.concatenate([own[drop:], fresh]))
+        if not rule.links(len(np.intersect1d(own, other)), len(own), len(other)):
+            continue
+        tested += 1
+        hot = np.sort(np.array(rng.sample(own.tolist(), rng.randrange(len(own) + 1)), np.uint64))
+        made = [jaccard_join.numbered_blocks(s, jaccard_join.is_cold(s, hot), rule) for s in (own, other)]
+        ids = np.repeat([1, 2], [len(numbers) for numbers, _ in made])
+        pairs = jaccard_join._candidates(*(np.concatenate(x) for x in zip(*made, strict=True)), ids)
+        assert pairs.tolist() == [[1, 2]]
+    assert tested > 200
+
+
+def test_unlike_texts_with_a_common_passage_are_no_candidates(spark):
+    passage = prose(77, 40)
+    data = [(k, prose(7000 + k, 120) + " " + passage + " " + prose(8000 + k, 120)) for k in range(40)]
+    data += [(100, data[0][1] + " more"), (101, data[0][1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = jaccard_join.candidate_links(docs, jaccard_join.Rule(5, 80), 4).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found} <= {(0, 100), (0, 101), (100, 101)}
+    assert found
+
+
+@pytest.mark.parametrize(("sent", "tested"), [(2, 3), (256, 3), (256, 2048)])
+def test_numbers_with_many_parities_keep_all_links(spark, monkeypatch, sent, tested):
+    monkeypatch.setattr(jaccard_join, "SENT_PARITIES", sent)
+    monkeypatch.setattr(jaccard_join, "TESTED_PARITIES", tested)
+    base = prose(55, 150)
+    data = [(k, near(base, k, k % 9) if k % 3 else prose(500 + k, 20) + base) for k in range(60)]
+    sets = {doc: {shingles(text)} for doc, text in data}
+    expected = components(sets, 85)
+    found = jaccard_join.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected

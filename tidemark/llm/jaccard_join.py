@@ -6,11 +6,14 @@ at most ``(1 - t) / (1 + t) * (a + b)`` shingles; sizes within a factor of t are
 
 1. Column blocks. Classes of similar size share a division of the columns into more blocks than
    they may differ in, so a linking pair agrees on some whole block (pigeonhole). Agreement on
-   a block makes a candidate. A block's content is hashed into one number; every task first
-   links its own rows per number and sends one row per number on, so what a number shared by a
-   third of all rows costs is one row per task.
-2. Candidate groups. Candidates are kept as stars, whose connected groups hold every linking
-   pair.
+   a block makes a candidate, if the blocks after it may belong to a linking pair too: counted
+   from some block on which they agree, the first l blocks of a linking pair hold at most l - 1 of
+   its differences, for every l (cycle lemma). A block's content is hashed into one number, the
+   ``CHAIN`` blocks from it on into 64 parities, which differ in no more places than the blocks do.
+   Every task first links its own rows of equal number and parities and sends one of them on; of a
+   number with very many parities it links all rows and sends one, so what a number shared by a
+   third of all rows costs is bounded per task.
+2. Candidate groups. The candidates' connected groups hold every linking pair.
 3. Row blocks. A group of at most ``BLOCK_ROWS`` is one block. The rows of a larger one are
    compared with one pivot of the group, in a join, and cut into blocks by size; only pairs of
    blocks whose sizes are compatible and that hold a row not linked to the pivot are multiplied.
@@ -49,7 +52,13 @@ BLOCK_COLUMNS = 4096
 SIZE_STEP = 1.25  # of the size classes that share a division of the columns
 HOT_SHINGLES = 1 << 17  # most frequent shingles left out of the column blocks; any set is exact
 HOT_DOCUMENTS = 48  # from so many documents on
-MAX_TASK_ROWS = 1 << 21  # block numbers a task holds before it sends them on
+MAX_TASK_ROWS = 1 << 21  # links, or half the shingles, that a task holds before it reduces them
+HELD_BLOCKS = 1 << 20  # block numbers with their parities, likewise
+BUCKETS = 4  # of block numbers to a partition; one is held at a time
+CHAIN = 8  # column blocks whose parities go with a block number
+SENT_PARITIES = 256  # of one number that a task sends on; beyond, its rows are linked untested
+TESTED_PARITIES = 2048  # of one number that are tested against each other; beyond, the same
+UNTESTED = np.uint64((1 << 64) - 1)  # parities of a row that stands for rows linked untested
 
 
 @dataclass(frozen=True)
@@ -83,35 +92,54 @@ class Rule:
         return list(range(own, reach + 1))
 
 
-def _divided(shingles: np.ndarray, blocks: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number for the content of each column block, and which blocks the set touches."""
+def _divided(shingles: np.ndarray, blocks: int, salt: int):
+    """A number for the content of each column block, the parities of the blocks from it on, and
+    which blocks the set touches."""
     block = (((mix(shingles) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(block, kind="stable")
-    sums = np.append(np.uint64(0), np.cumsum(mix(~shingles)[order], dtype=np.uint64))
+    scrambled = mix(~shingles)[order]
+    sums = np.append(np.uint64(0), np.cumsum(scrambled, dtype=np.uint64))
     cuts = np.searchsorted(block[order], np.arange(blocks + 1))
     content = sums[cuts[1:]] - sums[cuts[:-1]]
     place = np.arange(blocks, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(salt)
-    return mix(content + mix(place)), cuts[1:] > cuts[:-1]
+    bits = np.uint64(1) << (scrambled >> np.uint64(58))
+    before = np.append(np.uint64(0), np.bitwise_xor.accumulate(bits))[cuts]
+    chain = min(CHAIN, blocks)
+    around = np.concatenate([before, before[-1] ^ before[1 : chain + 1]])  # on from the first block
+    parities = around[chain : chain + blocks] ^ around[:blocks]
+    return mix(content + mix(place)), parities, cuts[1:] > cuts[:-1]
 
 
-def block_numbers(shingles: np.ndarray, cold: np.ndarray, rule: Rule) -> np.ndarray:
-    """Numbers of the column blocks of a set, for each of its size classes; ``cold`` marks the
-    shingles that are not hot.
+def numbered_blocks(shingles: np.ndarray, cold: np.ndarray, rule: Rule):
+    """Numbers and parities of the column blocks of a set, for each of its size classes; ``cold``
+    marks the shingles that are not hot.
 
     Two linking sets agree on a block that both touch with cold shingles if one of them touches
     more of those than they may differ in. A set that does not is divided once more with all its
     shingles; if it still touches too few blocks, its empty ones count too. Of two sets that do
     not find each other one way both go on to the next.
+
+    Where they must agree, one of them counts more blocks than they differ in. With one for each
+    counted block less its differences, the sum around the ring of blocks is positive, so from some
+    block on all partial sums are: that block is counted and without difference, and the first l
+    blocks from it on differ in at most l - 1 shingles.
     """
-    made = []
+    made, parities = [], []
     for size_class in rule.classes_of(len(shingles)):
         blocks, most = rule.blocks(size_class)
-        numbers, touched = _divided(shingles[cold], blocks, 2 * size_class + 1)
+        numbers, chains, touched = _divided(shingles[cold], blocks, 2 * size_class + 1)
         made.append(numbers[touched])
+        parities.append(chains[touched])
         if touched.sum() <= most:
-            numbers, touched = _divided(shingles, blocks, 2 * size_class + 2)
-            made.append(numbers if touched.sum() <= most else numbers[touched])
-    return np.concatenate(made)
+            numbers, chains, touched = _divided(shingles, blocks, 2 * size_class + 2)
+            counted = touched if touched.sum() > most else np.ones(blocks, bool)
+            made.append(numbers[counted])
+            parities.append(chains[counted])
+    return np.concatenate(made), np.concatenate(parities)
+
+
+def block_numbers(shingles: np.ndarray, cold: np.ndarray, rule: Rule) -> np.ndarray:
+    return numbered_blocks(shingles, cold, rule)[0]
 
 
 def hot_shingles(docs: DataFrame, rule: Rule, least=HOT_DOCUMENTS, most=HOT_SHINGLES) -> np.ndarray:
@@ -171,18 +199,48 @@ def shingled(docs: DataFrame, rule: Rule) -> DataFrame:
     return annotate(docs.select("doc_id", "text"), kernel, fields, keep_text=False)
 
 
-def _stars(numbers: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (smallest id, other id) of rows with equal numbers; every number once, with its
-    smallest id."""
-    order = np.lexsort((ids, numbers))
-    numbers, ids = numbers[order], ids[order]
-    first = np.append(True, numbers[1:] != numbers[:-1])
+def _stars(numbers: np.ndarray, parities: np.ndarray, ids: np.ndarray, most: int):
+    """Links of rows with equal number and parities, as stars of their smallest id, and one row of
+    each. A number with more than ``most`` parities, or with a row that stands for such ones, keeps
+    one row; all its rows are linked to that."""
+    order = np.lexsort((ids, parities, numbers))
+    numbers, parities, ids = numbers[order], parities[order], ids[order]
+    new_number = np.append(True, numbers[1:] != numbers[:-1])[: len(ids)]
+    first = new_number.copy()
+    first[1:] |= parities[1:] != parities[:-1]
+    pairs = _linked_to(first, ids)
+    numbers, parities, ids, new_number = (x[first] for x in (numbers, parities, ids, new_number))
+    run = np.cumsum(new_number) - 1
+    untested = np.bincount(run) > most
+    untested[run[parities == UNTESTED]] = True
+    untested = untested[run]
+    pairs = np.concatenate([pairs, _linked_to(new_number[untested], ids[untested])])
+    kept = ~untested | new_number
+    parities = np.where(untested, UNTESTED, parities)
+    return np.unique(pairs, axis=0), numbers[kept], parities[kept], ids[kept]
+
+
+def _linked_to(first: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """(first id, other id) within runs that begin at ``first``."""
     lead = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
-    pairs = np.stack([lead, ids], axis=1)[~first & (lead != ids)]
-    return np.unique(pairs, axis=0), numbers[first], ids[first]
+    return np.stack([lead, ids], axis=1)[~first & (lead != ids)]
 
 
-_BLOB = "bucket int, numbers binary, ids binary"
+def _candidates(numbers: np.ndarray, parities: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Distinct links of rows of equal number whose parities may be those of a linking pair."""
+    pairs, numbers, parities, ids = _stars(numbers, parities, ids, TESTED_PARITIES)
+    found, at, step = [pairs], np.arange(len(ids)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(ids)]
+        at = at[numbers[at] == numbers[at + step]]
+        near = at[np.bitwise_count(parities[at] ^ parities[at + step]) < CHAIN]
+        pair = np.sort(np.stack([ids[near], ids[near + step]], axis=1), axis=1)
+        found.append(np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+_BLOB = "bucket int, numbers binary, ids binary, parities binary"
 
 
 def _pair_rows(pairs: np.ndarray, buckets: int):
@@ -192,12 +250,12 @@ def _pair_rows(pairs: np.ndarray, buckets: int):
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in np.unique(bucket).tolist():
         own = order[cuts[k] : cuts[k + 1]]
-        yield k, to_planes(pairs[own, 0]), to_planes(pairs[own, 1])
+        yield k, to_planes(pairs[own, 0]), to_planes(pairs[own, 1]), None
 
 
-def _blobs(numbers: np.ndarray, ids: np.ndarray, buckets: int):
+def _blobs(numbers: np.ndarray, parities: np.ndarray, ids: np.ndarray, buckets: int):
     """One row per bucket of numbers, and one per bucket -1 - k of links."""
-    pairs, numbers, ids = _stars(numbers, ids)
+    pairs, numbers, parities, ids = _stars(numbers, parities, ids, SENT_PARITIES)
     bucket = (numbers >> np.uint64(24)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -205,68 +263,84 @@ def _blobs(numbers: np.ndarray, ids: np.ndarray, buckets: int):
     for k in range(buckets):
         own = order[cuts[k] : cuts[k + 1]]
         if len(own):
-            rows.append((k, to_steps(numbers[own]), to_planes(ids[own])))
+            rows.append((k, to_steps(numbers[own]), to_planes(ids[own]), parities[own].tobytes()))
     rows += [(-1 - k, *arrays) for k, *arrays in _pair_rows(pairs, buckets)]
     return _as_batch(rows)
 
 
+def _rows_of(batch: pa.RecordBatch):
+    for k in range(batch.num_rows):
+        yield [column[k].as_py() for column in batch.columns]
+
+
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-        names=["bucket", "numbers", "ids"],
+        names=["bucket", "numbers", "ids", "parities"],
     )
 
 
-def candidate_links(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """(a, b) stars of documents that agree on a column block."""
+def candidate_links(docs: DataFrame, rule: Rule, partitions: int) -> DataFrame:
+    """(a, b) links of documents that agree on a column block and may on those after it."""
+    buckets = BUCKETS * partitions
     bounded_batches(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, rule))
 
     def emit(batches):
-        numbers, ids, held = [], [], 0
+        numbers, parities, ids, held = [], [], [], 0
+
+        def flush():
+            return _blobs(*(np.concatenate(x) for x in (numbers, parities, ids)), buckets)
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(Words(texts_of(batch, "text"), SPACED_LOWER), rule.shingle)
                 for doc, shingles in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
                     if len(shingles):
-                        own = block_numbers(shingles, is_cold(shingles, hot.value), rule)
+                        own, chains = numbered_blocks(shingles, is_cold(shingles, hot.value), rule)
                         numbers.append(own)
+                        parities.append(chains)
                         ids.append(np.full(len(own), doc, np.int64))
                         held += len(own)
-                if held >= MAX_TASK_ROWS:
-                    yield _blobs(np.concatenate(numbers), np.concatenate(ids), buckets)
-                    numbers, ids, held = [], [], 0
+                if held >= HELD_BLOCKS:
+                    yield flush()
+                    numbers, parities, ids, held = [], [], [], 0
         if held:
-            yield _blobs(np.concatenate(numbers), np.concatenate(ids), buckets)
+            yield flush()
 
     def merge(batches):
         """Links of equal numbers, once per partition, bucketed for the last step; links that
         tasks have found themselves go on as they are."""
-        current, numbers, ids = None, [], []
+        current, held = None, []
         found = [np.empty((0, 2), np.int64)]
+
+        def meet():
+            found.append(_candidates(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
         for batch in batches:
-            for bucket, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, left, right, chains in _rows_of(batch):
                 if bucket < 0:
-                    yield _as_batch([(-1 - bucket, left, right)])
+                    yield _as_batch([(-1 - bucket, left, right, None)])
                     continue
-                if bucket != current and numbers:
-                    found.append(_stars(np.concatenate(numbers), np.concatenate(ids))[0])
-                    numbers, ids = [], []
+                if bucket != current and held:
+                    meet()
+                    held = []
                 current = bucket
-                numbers.append(from_steps(left))
-                ids.append(from_planes(right).view(np.int64))
-        if numbers:
-            found.append(_stars(np.concatenate(numbers), np.concatenate(ids))[0])
+                held.append(
+                    (from_steps(left), np.frombuffer(chains, np.uint64), from_planes(right).view(np.int64))
+                )
+        if held:
+            meet()
         pairs = np.unique(np.concatenate(found), axis=0)
         if len(pairs):
             yield _as_batch(list(_pair_rows(pairs, buckets)))
 
     def distinct(batches):
-        """Every link once: a bucket's rows all meet here."""
+        """Every link once: the rows of a bucket all meet here."""
         held = [np.empty((0, 2), np.int64)]
         for batch in batches:
-            for _, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, left, right, _ in _rows_of(batch):
                 pair = [from_planes(x).view(np.int64) for x in (left, right)]
                 held.append(np.stack(pair, axis=1))
                 if sum(map(len, held)) > MAX_TASK_ROWS:
@@ -275,9 +349,9 @@ def candidate_links(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sent = rows.mapInArrow(emit, _BLOB).repartition(buckets, "bucket")
+    sent = rows.mapInArrow(emit, _BLOB).repartition(partitions, "bucket")
     merged = sent.sortWithinPartitions("bucket").mapInArrow(merge, _BLOB)
-    return merged.repartition(buckets, "bucket").mapInArrow(distinct, "a long, b long")
+    return merged.repartition(partitions, "bucket").mapInArrow(distinct, "a long, b long")
 
 
 def _mark(edges: DataFrame):
