@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import components, documents, near, prose, texts, words
-from tidemark.llm import centroids, jaccard_join, periodic_runs, queries, spf_packing
+from tidemark.llm import centroids, jaccard_join, kneser_ney, periodic_runs, queries, spf_packing
 from tidemark.llm.suffix_tree import Extensions
 
 
@@ -371,3 +371,16 @@ def test_numbers_with_many_parities_keep_all_links(spark, monkeypatch, sent, tes
     expected = components(sets, 85)
     found = jaccard_join.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+
+
+# ---- arrays of the language model -------------------------------------------------------------
+
+
+def test_arrays_of_the_language_model_are_plain(tmp_path):
+    keys = np.arange(5, dtype="u8")
+    name = kneser_ney.save(str(tmp_path), [keys, keys.astype("u1")])
+    held = kneser_ney.mapped(str(tmp_path), name, [("u8", 5), ("u1", 5)])
+    assert [type(a) for a in held] == [np.ndarray, np.ndarray]
+    assert [a.tolist() for a in held] == [keys.tolist()] * 2
+    parts = list(kneser_ney._split(np.array([70000, 2, 70000, 0]), 70001))
+    assert [(k, own.tolist()) for k, own in parts] == [(0, [3]), (2, [1]), (70000, [0, 2])]

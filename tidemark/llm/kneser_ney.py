@@ -92,8 +92,9 @@ def mapped(folder: str, name: str, kinds: list[tuple[str, int]]) -> list[np.ndar
     """Arrays of a file by (type, length), mapped into memory."""
     path, at, made = local_path(folder, name), 0, []
     for kind, n in kinds:
+        # as plain arrays: every slice of a memmap object costs Python calls
         made.append(
-            np.memmap(path, kind, "r", offset=at, shape=(n,)) if n else np.empty(0, kind)
+            np.memmap(path, kind, "r", offset=at, shape=(n,)).view(np.ndarray) if n else np.empty(0, kind)
         )
         at += np.dtype(kind).itemsize * n
     return made
@@ -231,12 +232,8 @@ class Model:
         held = self.levels[level - 1]
         index, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         more = np.zeros((5, len(keys)), np.int64) if statistics else None
-        shard = held.shard_of(keys)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(held.sizes) + 1))
-        for number in np.unique(shard).tolist():
+        for number, own in _split(held.shard_of(keys), len(held.sizes)):
             one = self.shard(level, number)
-            own = order[cuts[number] : cuts[number + 1]]
             if not len(one.keys):
                 continue
             place = np.searchsorted(one.keys, keys[own])
@@ -313,8 +310,9 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _split(shard: np.ndarray, shards: int):
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    """(shard, its places in order); numbers of 16 bits are sorted by radix."""
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
     for number in range(shards):
         if cuts[number] < cuts[number + 1]:
             yield number, order[cuts[number] : cuts[number + 1]]
