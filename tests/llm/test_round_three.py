@@ -373,6 +373,37 @@ def test_numbers_with_many_parities_keep_all_links(spark, monkeypatch, sent, tes
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
 
 
+def test_candidates_connect_near_parities_with_fewer_links_than_rows():
+    rng = random.Random(21)
+    for _ in range(60):
+        bases = [rng.getrandbits(64) for _ in range(rng.randrange(1, 5))]
+        rows = [(rng.randrange(3), rng.choice(bases), rng.randrange(80)) for _ in range(rng.randrange(1, 120))]
+        rows = [(n, p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))), i) for n, p, i in rows]
+        numbers, parities, ids = (np.array(x, t) for x, t in zip(zip(*rows), (np.uint64, np.uint64, np.int64)))
+        pairs = jaccard_join._candidates(numbers, parities, ids).tolist()
+        parent = {i: i for i in ids.tolist()}
+
+        def find(x, parent=parent):
+            return x if parent[x] == x else find(parent[x])
+
+        for n, p, i in rows:
+            for m, q, j in rows:
+                if n == m and (p ^ q).bit_count() < jaccard_join.CHAIN:
+                    low, high = sorted((find(i), find(j)))
+                    parent[high] = low
+        assert pairs == sorted([find(i), i] for i in parent if find(i) != i)
+
+
+def test_candidate_links_of_near_copies_grow_with_rows_not_pairs(spark):
+    base = prose(91, 200)
+    docs = [(k, near(base, 300 + k, 1 + k % 6)) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    found = jaccard_join.candidate_links(frame, jaccard_join.Rule(4, 85), 8)
+    made = {(r["a"], r["b"]) for r in found.collect()}
+    assert {x for pair in made for x in pair} == set(range(400))
+    assert len(made) < 8 * 400
+
+
 # ---- arrays of the language model -------------------------------------------------------------
 
 

@@ -12,7 +12,8 @@ at most ``(1 - t) / (1 + t) * (a + b)`` shingles; sizes within a factor of t are
    ``CHAIN`` blocks from it on into 64 parities, which differ in no more places than the blocks do.
    Every task first links its own rows of equal number and parities and sends one of them on; of a
    number with very many parities it links all rows and sends one, so what a number shared by a
-   third of all rows costs is bounded per task.
+   third of all rows costs is bounded per task. What a task finds it sends as one link from each
+   row to the smallest id that it reaches there, so links grow with rows and not with pairs.
 2. Candidate groups. The candidates' connected groups hold every linking pair.
 3. Row blocks. A group of at most ``BLOCK_ROWS`` is one block. The rows of a larger one are
    compared with one pivot of the group, in a join, and cut into blocks by size; only pairs of
@@ -226,25 +227,55 @@ def _linked_to(first: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.stack([lead, ids], axis=1)[~first & (lead != ids)]
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's part, after links (a, b) have joined parts."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _to_smallest(pairs: np.ndarray) -> np.ndarray:
+    """One link from the smallest id that it reaches to every other id of ``pairs``: they connect
+    what ``pairs`` connect, and are fewer than the ids."""
+    ids, place = np.unique(pairs, return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    return _stars_to(ids, _joined(np.arange(len(ids)), a, b))
+
+
+def _stars_to(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
+    pairs = np.stack([ids[root], ids], axis=1)[root != np.arange(len(ids))]
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+
+
 def _candidates(numbers: np.ndarray, parities: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Distinct links of rows of equal number whose parities may be those of a linking pair."""
+    """Links that connect the rows of equal number whose parities may be those of a linking pair:
+    to the smallest id reached, fewer than the ids."""
     pairs, numbers, parities, ids = _stars(numbers, parities, ids, TESTED_PARITIES)
-    found, at, step = [pairs], np.arange(len(ids)), 0
+    nodes, place = np.unique(np.concatenate([pairs.ravel(), ids]), return_inverse=True)
+    (a, b), place = place[: pairs.size].reshape(-1, 2).T, place[pairs.size :]
+    root = _joined(np.arange(len(nodes)), a, b)
+    at, step = np.arange(len(ids)), 0
     while len(at):
         step += 1
         at = at[at + step < len(ids)]
         at = at[numbers[at] == numbers[at + step]]
         near = at[np.bitwise_count(parities[at] ^ parities[at + step]) < CHAIN]
-        pair = np.sort(np.stack([ids[near], ids[near + step]], axis=1), axis=1)
-        found.append(np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0))
-    return np.unique(np.concatenate(found), axis=0)
+        root = _joined(root, place[near], place[near + step])
+    return _stars_to(nodes, root)
 
 
 _BLOB = "bucket int, numbers binary, ids binary, parities binary"
 
 
 def _pair_rows(pairs: np.ndarray, buckets: int):
-    """(bucket, ids, ids) of sorted distinct links, by their first id."""
+    """(bucket, ids, ids) of links, by their first id."""
     bucket = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -264,7 +295,7 @@ def _blobs(numbers: np.ndarray, parities: np.ndarray, ids: np.ndarray, buckets:
         own = order[cuts[k] : cuts[k + 1]]
         if len(own):
             rows.append((k, to_steps(numbers[own]), to_planes(ids[own]), parities[own].tobytes()))
-    rows += [(-1 - k, *arrays) for k, *arrays in _pair_rows(pairs, buckets)]
+    rows += [(-1 - k, *arrays) for k, *arrays in _pair_rows(_to_smallest(pairs), buckets)]
     return _as_batch(rows)
 
 
@@ -282,7 +313,7 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def candidate_links(docs: DataFrame, rule: Rule, partitions: int) -> DataFrame:
-    """(a, b) links of documents that agree on a column block and may on those after it."""
+    """(a, b) links that connect the documents that agree on a column block and may on those after it."""
     buckets = BUCKETS * partitions
     bounded_batches(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, rule))
@@ -310,8 +341,8 @@ def candidate_links(docs: DataFrame, rule: Rule, partitions: int) -> DataFrame:
             yield flush()
 
     def merge(batches):
-        """Links of equal numbers, once per partition, bucketed for the last step; links that
-        tasks have found themselves go on as they are."""
+        """Links of equal numbers, to the smallest id reached in a partition, bucketed for the last
+        step; links that tasks have found themselves go on as they are."""
         current, held = None, []
         found = [np.empty((0, 2), np.int64)]
 
@@ -332,20 +363,20 @@ def candidate_links(docs: DataFrame, rule: Rule, partitions: int) -> DataFrame:
                 )
         if held:
             meet()
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = _to_smallest(np.concatenate(found))
         if len(pairs):
             yield _as_batch(list(_pair_rows(pairs, buckets)))
 
     def distinct(batches):
-        """Every link once: the rows of a bucket all meet here."""
+        """What the links of a bucket connect, one link an id at most: they all meet here."""
         held = [np.empty((0, 2), np.int64)]
         for batch in batches:
             for _, left, right, _ in _rows_of(batch):
                 pair = [from_planes(x).view(np.int64) for x in (left, right)]
                 held.append(np.stack(pair, axis=1))
                 if sum(map(len, held)) > MAX_TASK_ROWS:
-                    held = [np.unique(np.concatenate(held), axis=0)]
-        pairs = np.unique(np.concatenate(held), axis=0)
+                    held = [_to_smallest(np.concatenate(held))]
+        pairs = _to_smallest(np.concatenate(held))
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
