@@ -32,3 +32,11 @@ def test_the_rest_is_registered_without_the_optional_parts(tmp_path, absent):
     gone = own if "tidemark/llm" in absent else {"pipeline"} & own
     assert there[0] == here[0] - gone
     assert there[1] == here[1] - gone
+
+
+def test_another_copy_on_the_path_does_not_count(tmp_path, monkeypatch):
+    ignored = shutil.ignore_patterns(".git", "__pycache__", "corpus_pipeline.py")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=ignored)
+    monkeypatch.setenv("PYTHONPATH", ROOT)
+    assert "pipeline" in registered(ROOT)[0]
+    assert "pipeline" not in registered(tmp_path / "copy")[0]
