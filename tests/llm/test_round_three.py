@@ -394,11 +394,12 @@ def test_candidates_connect_near_parities_with_fewer_links_than_rows():
         assert pairs == sorted([find(i), i] for i in parent if find(i) != i)
 
 
-def test_candidate_links_of_near_copies_grow_with_rows_not_pairs(spark):
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(4, 85), jaccard_join.Rule(5, 80)])
+def test_candidate_links_of_near_copies_grow_with_rows_not_pairs(spark, rule):
     base = prose(91, 200)
     docs = [(k, near(base, 300 + k, 1 + k % 6)) for k in range(400)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
-    found = jaccard_join.candidate_links(frame, jaccard_join.Rule(4, 85), 8)
+    found = jaccard_join.candidate_links(frame, rule, 8)
     made = {(r["a"], r["b"]) for r in found.collect()}
     assert {x for pair in made for x in pair} == set(range(400))
     assert len(made) < 8 * 400
