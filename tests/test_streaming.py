@@ -65,6 +65,23 @@ def test_landing_is_partitioned_and_resumes_exactly_once(spark, folders):
     assert "PartitionFilters: [isnotnull(event_date" in pruned._jdf.queryExecution().toString()
 
 
+def test_landed_files_do_not_grow_with_tenants(spark, folders):
+    source, table, checkpoint = folders("in"), folders("bronze"), folders("cp")
+    tenants = 3 * bronze_landing.TENANT_GROUPS
+    records = [
+        b'{"id":"e%d","source":"s","tenant_id":"t%d","event_type":"x","livemode":false,"created":%d,'
+        b'"api_version":"1","data":{"object":{}}}' % (k, k % tenants, 1767225600 + 86400 * (k // tenants))
+        for k in range(2 * tenants)
+    ]
+    write(spark, source, records)
+    done(bronze_landing.land(stream(spark, source), table, checkpoint, available_now=True))
+    rows = spark.read.parquet(table)
+    assert rows.count() == len(records)
+    assert rows.select("tenant_id", "event_date").distinct().count() == 2 * tenants
+    assert len(rows.inputFiles()) <= 2 * bronze_landing.TENANT_GROUPS
+    assert "/tenant_id=" not in rows.inputFiles()[0]
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_live_kpis_over_micro_batches_equal_batch(spark, folders, batches):
     source, log, checkpoint = folders("in"), folders("log"), folders("cp")
