@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,24 @@ def test_queries_in_several_batches_and_blocks(spark, monkeypatch):
     same(search(spark, docs, queries, 2), brute_force(docs, queries, 2))
 
 
+def test_only_documents_that_can_lead_are_ranked(spark):
+    d = spark.createDataFrame(large_corpus(), "doc_id long, text string, recency_minutes int")
+    q = spark.createDataFrame([(i, f"w{i} w{2 * i} w{59 - i}") for i in range(6)], "query_id long, text string")
+    ranked = retrieval.candidate_ranks(d.repartition(3), q, 3)
+    sizes = [r["count"] for r in ranked.groupBy("query_id").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < retrieval.candidate_depth(3) / 2
+
+
+def test_words_of_bytes_are_the_tokens(spark):
+    texts = ["", None, "abc", "Ab1 2c", "é1é x\u212a ", "a-b_c\nd", "\u0130stanbul", "end"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    lowered = [r[0] for r in rows.select(F.lower("text")).collect()]
+    expected = [r[0] or [] for r in rows.select(scalars.tokens(F.col("text"))).collect()]
+    whole = pa.array(["x1", *lowered, "y"], pa.string())
+    assert retrieval.words_of(whole.slice(1, len(texts))).to_pylist() == expected
+    assert retrieval.words_of(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_candidate_depth_bound():
     for k in (1, 3, 4, 10):
         depth = retrieval.candidate_depth(k)
