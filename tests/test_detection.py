@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +327,33 @@ def test_forests_per_stream_use_their_own_scale(spark, monkeypatch):
     got = forest.fit_score_parts(df, "stream", ["value"], ["stream", "id"], trees=40).toPandas()
     assert len(got) == len(rows)
     assert set(got.sort_values("forest").groupby("stream").tail(1)["id"]) == {999}
+
+
+def test_tfidf_takes_texts_apart_once_and_counts_a_key_together(spark):
+    texts = [(1, "Ab cd ab"), (1, "ab cd"), (2, None), (3, ""), (4, "cd ab cd ef"), (None, "ab zz")]
+    rows = classify.tfidf(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id")
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    tf = {(r["doc_id"], r["term"]): r["tf"] for r in rows.collect()}
+    assert tf == {
+        (1, "ab"): 3, (1, "cd"): 2, (1, "ab cd"): 2, (1, "cd ab"): 1,
+        (4, "ab"): 1, (4, "cd"): 2, (4, "ab cd"): 1, (4, "cd ab"): 1, (None, "ab"): 1,
+    }
+
+
+def test_gram_counts_do_not_depend_on_the_batches():
+    rows = [(1, ["a", "b", "a"]), (1, ["b", "a"]), (2, None), (2, ["a"]), (3, []), (4, ["c"] * 5), (None, ["a", "b"])]
+    made = []
+    for size in (1, 2, len(rows)):
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.string()))],
+                names=["key", "_words"],
+            )
+            for part in (rows[i : i + size] for i in range(0, len(rows), size))
+        ]
+        found = [row for batch in classify._by_key(iter(batches)) for row in batch.to_pylist()]
+        made.append([(r["key"], dict(zip(r["terms"], r["tf"], strict=True))) for r in found])
+    assert made[0] == made[1] == made[2] == [
+        (1, {"a": 3, "b": 2, "a b": 1, "b a": 2}), (2, {"a": 1}), (3, {}), (4, {"c": 5, "c c": 4}),
+        (None, {"a": 1, "b": 1, "a b": 1}),
+    ]
