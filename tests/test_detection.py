@@ -357,3 +357,13 @@ def test_gram_counts_do_not_depend_on_the_batches():
         (1, {"a": 3, "b": 2, "a b": 1, "b a": 2}), (2, {"a": 1}), (3, {}), (4, {"c": 5, "c c": 4}),
         (None, {"a": 1, "b": 1, "a b": 1}),
     ]
+
+
+def test_training_rows_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(classify, "SPREAD_ROWS", 30)
+    rows = spark.createDataFrame([(f"text {i}", f"l{i % 3}") for i in range(100)], "text string, label string")
+    chosen = classify._chosen_rows(rows, 80)
+    assert chosen.rdd.getNumPartitions() == 3
+    first = rows.orderBy(F.xxhash64("text", "label"), "text").limit(80)
+    assert sorted(chosen.collect()) == sorted(first.collect())
+    assert classify._chosen_rows(rows, 20).rdd.getNumPartitions() == 1
